@@ -2,14 +2,33 @@
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
+
+from ..constants import BASE_FEATURES, GAPS, OBJECTION_FEATURES, STAGE_COLS
+from ..functions import columns as C
+from ..functions.encoding import encode, fit_label_codes
 from ..operators import master as M
+from ..operators import scoring as S
+from ..operators.digitalization import add_digitalization, digitalization_scores
+from ..operators.features import build_features, with_dates, with_gaps
+from ..operators.forecast import active_projects, forecast, with_current_stage
+from ..operators.models import ModelSet
+from ..operators.snapshot import snapshot
+from ..operators.stats import gap_stats, prior_medians, stage_durations
 from ..sources.fixtures import Fixtures
 
+# request dates that do not parse fall back to this day (the service uses "today")
+AS_OF = _dt.date(2025, 1, 1)
+FLOAT_FEATURES = ["government_land", "private_land", "forest_area", "land_difficulty_score",
+                  "forest_proportion", "private_proportion", "govt_proportion",
+                  "digitalization_score", "digitalization_delay"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -50,6 +69,235 @@ def q_master_dataset(spark, sf_dir):
     return out.withColumn("total_disputed_area", F.round("total_disputed_area", 6))
 
 
+# -- shared pieces ----------------------------------------------------------
+
+class Ctx:
+    """Per-call plan pieces (lazy DataFrames; nothing is computed until used)."""
+
+    def __init__(self, spark, sf_dir):
+        self.spark = spark
+        self.fx = Fixtures(spark, sf_dir)
+        self._m = None
+        self._codes = None
+        self._scores = None
+
+    @property
+    def master(self):
+        if self._m is None:
+            self._m = M.master_dataset(self.fx.sources())
+        return self._m
+
+    @property
+    def rows(self):
+        """Training rows: master with parsed dates and the six gaps."""
+        return with_gaps(with_dates(self.master))
+
+    @property
+    def codes(self):
+        if self._codes is None:
+            self._codes = (fit_label_codes(self.master, "railway"),
+                           fit_label_codes(self.master, "division"))
+        return self._codes
+
+    @property
+    def scores(self):
+        if self._scores is None:
+            self._scores = digitalization_scores(self.fx["state_dim"],
+                                                 self.fx["digitalization_records"])
+        return self._scores
+
+    def features(self, df, mode, with_objections=False):
+        rc, dc = self.codes
+        return build_features(df, mode, rc, dc, self.scores, with_objections)
+
+    def mean_models(self):
+        stats = gap_stats(self.rows).collect()          # six rows
+        rc, dc = self.codes
+        return ModelSet.mean_only(stats, durations=stage_durations(self.rows),
+                                  railway_codes=rc, division_codes=dc, scores=self.scores)
+
+    def requests(self):
+        return S.decode_requests(self.fx["requests"], rename={"current_date": "current_date_text"},
+                                 as_of=AS_OF)
+
+
+def _round(df, cols, nd=6):
+    return df.select(*[F.round(F.col(c), nd).alias(c) if c in cols else F.col(c)
+                       for c in df.columns])
+
+
+# -- F queries --------------------------------------------------------------
+
+def q_parse_dates(spark, sf_dir):
+    t = Fixtures(spark, sf_dir)["project_dates_text"]
+    d = C.parse_date("date_37A")
+    return t.select("project_id", F.col("date_37A").alias("date_text"), d.alias("parsed"),
+                    C.format_date(d).alias("formatted"))
+
+
+def q_stage_gaps(spark, sf_dir):
+    return Ctx(spark, sf_dir).rows.select("project_id", *GAPS)
+
+
+def q_label_codes(spark, sf_dir):
+    rc, dc = Ctx(spark, sf_dir).codes
+    return rc.select(F.lit("railway").alias("column"), "label", "code").unionByName(
+        dc.select(F.lit("division").alias("column"), "label", "code"))
+
+
+def q_safe_encode(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    rc, dc = c.codes
+    r = c.fx["requests"].select("request_id", "railway", "division")
+    r = encode(encode(r, "railway", rc, "railway_enc"), "division", dc, "division_enc")
+    return r
+
+
+def q_list_features(spark, sf_dir):
+    m = Ctx(spark, sf_dir).master
+    return m.select("project_id", "states", "districts",
+                    C.first_token_int("states", 0).cast("bigint").alias("primary_state"),
+                    C.first_token_int("districts", 0).cast("bigint").alias("primary_district"),
+                    C.token_count("states", 1).alias("num_states"),
+                    C.token_count("districts", 1).alias("num_districts"))
+
+
+def q_digit_list_features(spark, sf_dir):
+    r = Fixtures(spark, sf_dir)["requests"]
+    return r.select("request_id", "states", "districts",
+                    C.first_digit_token("states", 3).alias("primary_state"),
+                    C.first_digit_token("districts", 27).alias("primary_district"),
+                    C.digit_token_count("states").alias("num_states"),
+                    C.digit_token_count("districts").alias("num_districts"))
+
+
+LAND_OUT = ["government_land", "private_land", "forest_area", "court_case_count",
+            "active_court_cases", "has_court_cases", "start_year", "start_month",
+            "land_difficulty_score", "forest_proportion", "private_proportion",
+            "govt_proportion"]
+
+
+def q_land_features(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    f = c.features(c.master, "train")
+    return _round(f.select("project_id", *LAND_OUT), FLOAT_FEATURES)
+
+
+def q_land_features_project(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    f = c.features(active_projects(c.master), "project")
+    return _round(f.select("project_id", *LAND_OUT), FLOAT_FEATURES)
+
+
+def q_land_features_request(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    f = c.features(c.requests(), "request")
+    return _round(f.select("request_id", *LAND_OUT), FLOAT_FEATURES)
+
+
+def q_digitalization_scores(spark, sf_dir):
+    return _round(Ctx(spark, sf_dir).scores, ["score"])
+
+
+def q_digitalization_features(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    m = c.master.select("project_id", "states",
+                        C.first_token_int("states", 0).cast("bigint").alias("primary_state"))
+    return _round(add_digitalization(m, c.scores),
+                  ["digitalization_score", "digitalization_delay"])
+
+
+def q_training_features(spark, sf_dir, with_objections=False):
+    c = Ctx(spark, sf_dir)
+    f = c.features(c.master, "train", with_objections)
+    feats = BASE_FEATURES + (OBJECTION_FEATURES if with_objections else [])
+    return _round(f.select("project_id", *feats, *GAPS), FLOAT_FEATURES)
+
+
+def q_training_features_obj(spark, sf_dir):
+    return q_training_features(spark, sf_dir, with_objections=True)
+
+
+# -- A queries --------------------------------------------------------------
+
+def q_gap_stats(spark, sf_dir):
+    return _round(gap_stats(Ctx(spark, sf_dir).rows), ["mean", "std", "min", "max"])
+
+
+def q_prior_medians(spark, sf_dir):
+    return prior_medians(Ctx(spark, sf_dir).rows)
+
+
+def q_stage_durations(spark, sf_dir):
+    d = stage_durations(Ctx(spark, sf_dir).rows)
+    return _round(d, ["lognorm_mu", "lognorm_sigma", "min", "max", "p25", "p50", "p75",
+                      "mean", "std"])
+
+
+def q_active_projects(spark, sf_dir):
+    a = active_projects(Ctx(spark, sf_dir).master)
+    return a.select("project_id", "allocation_project_id", "division", "date_37A")
+
+
+def q_current_stage(spark, sf_dir):
+    a = with_gaps(with_current_stage(active_projects(Ctx(spark, sf_dir).master)))
+    return a.select("project_id", "current_idx", "current_stage", "current_date", *GAPS)
+
+
+def q_clamp_round(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    st = gap_stats(c.rows).select("gap", "min", "max")
+    long = c.rows.select("project_id", *GAPS).unpivot("project_id", GAPS, "gap", "g") \
+        .where(F.col("g").isNotNull())
+    j = long.join(F.broadcast(st), "gap")          # six stats rows
+    pred = F.col("g") / 2.0
+    return j.select("project_id", "gap", pred.alias("pred"),
+                    C.clamp_round(pred, F.col("min"), F.col("max")).cast("int").alias("days"))
+
+
+# -- P queries --------------------------------------------------------------
+
+def q_forecast_mean(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return forecast(c.master, c.mean_models())
+
+
+def _targets(c, latest_only=False):
+    t = c.fx["target_dates"]
+    if latest_only:
+        # one target date: the snapshot of a single request
+        t = t.orderBy(F.col("target_date").desc()).limit(1)
+    return t
+
+
+def q_snapshot_mean(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    mm = c.mean_models()
+    return snapshot(forecast(c.master, mm), _targets(c, True), mm.durations)
+
+
+def q_snapshot_many_dates(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    mm = c.mean_models()
+    return snapshot(forecast(c.master, mm), _targets(c), mm.durations)
+
+
+def q_score_requests_mean(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return S.predictions_long(S.score_requests(c.requests(), c.mean_models()))
+
+
+def q_request_envelope(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    r = c.fx["requests"]
+    body = F.to_json(F.struct(*[F.col(x) for x in r.columns if x != "request_id"]))
+    body = F.regexp_replace(body, '"current_date_text"', '"current_date"')
+    req = S.decode_requests(r.select("request_id", body.alias("body")), body_col="body",
+                            as_of=AS_OF)
+    env = S.envelope(S.score_requests(req, c.mean_models()))
+    return env.drop("response")
+
+
 def queries() -> dict[str, Query]:
     return {
         "allocation_distinct": q_allocation_distinct,
@@ -59,4 +307,28 @@ def queries() -> dict[str, Query]:
         "court_case_summary": q_court_case_summary,
         "objection_summary": q_objection_summary,
         "master_dataset": q_master_dataset,
+        "parse_dates": q_parse_dates,
+        "stage_gaps": q_stage_gaps,
+        "label_codes": q_label_codes,
+        "safe_encode": q_safe_encode,
+        "list_features": q_list_features,
+        "digit_list_features": q_digit_list_features,
+        "land_features": q_land_features,
+        "land_features_project": q_land_features_project,
+        "land_features_request": q_land_features_request,
+        "digitalization_scores": q_digitalization_scores,
+        "digitalization_features": q_digitalization_features,
+        "training_features": q_training_features,
+        "training_features_obj": q_training_features_obj,
+        "gap_stats": q_gap_stats,
+        "prior_medians": q_prior_medians,
+        "stage_durations": q_stage_durations,
+        "active_projects": q_active_projects,
+        "current_stage": q_current_stage,
+        "clamp_round": q_clamp_round,
+        "forecast_mean": q_forecast_mean,
+        "snapshot_mean": q_snapshot_mean,
+        "snapshot_many_dates": q_snapshot_many_dates,
+        "score_requests_mean": q_score_requests_mean,
+        "request_envelope": q_request_envelope,
     }

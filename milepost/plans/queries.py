@@ -298,6 +298,59 @@ def q_request_envelope(spark, sf_dir):
     return env.drop("response")
 
 
+# -- learned models (rows-only checks) ---------------------------------------
+
+_TRAINED: dict = {}
+
+
+def learned_models(c: Ctx):
+    """Train once per session and test-data folder (LIGHT preset: 10 boosting
+    rounds, 20 forest trees; the library default keeps the original sizes)."""
+    from ..operators.training import LIGHT, train_all
+    key = (c.spark.sparkContext.applicationId, c.fx.sf_dir)
+    if key not in _TRAINED:
+        rc, dc = c.codes
+        feats = build_features(c.master, "train", rc, dc, c.scores, False)
+        _TRAINED[key] = train_all(feats, rc, dc, c.scores, LIGHT)
+    return _TRAINED[key]
+
+
+def q_cv_folds(spark, sf_dir):
+    from ..operators.training import n_folds, with_folds
+    rows = Ctx(spark, sf_dir).rows
+    counts = {r["gap"]: int(r["n"]) for r in gap_stats(rows).collect()}   # six rows
+    parts = []
+    for k, g in enumerate(GAPS):
+        d = rows.where(F.col(g).isNotNull()).select("project_id")
+        kf = max(n_folds(counts[g]), 1)
+        parts.append(with_folds(d, kf).groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"))
+                     .select(F.lit(g).alias("gap"), F.lit(kf).alias("k"), "fold", "n_rows"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def q_gap_model_report(spark, sf_dir):
+    return learned_models(Ctx(spark, sf_dir))[1]
+
+
+def q_forecast_learned(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return forecast(c.master, learned_models(c)[0])
+
+
+def q_snapshot_learned(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    ms = learned_models(c)[0]
+    return snapshot(forecast(c.master, ms), _targets(c), ms.durations)
+
+
+def q_score_requests_learned(spark, sf_dir):
+    c = Ctx(spark, sf_dir)
+    return S.predictions_long(S.score_requests(c.requests(), learned_models(c)[0]))
+
+
 def queries() -> dict[str, Query]:
     return {
         "allocation_distinct": q_allocation_distinct,
@@ -331,4 +384,9 @@ def queries() -> dict[str, Query]:
         "snapshot_many_dates": q_snapshot_many_dates,
         "score_requests_mean": q_score_requests_mean,
         "request_envelope": q_request_envelope,
+        "cv_folds": q_cv_folds,
+        "gap_model_report": q_gap_model_report,
+        "forecast_learned": q_forecast_learned,
+        "snapshot_learned": q_snapshot_learned,
+        "score_requests_learned": q_score_requests_learned,
     }

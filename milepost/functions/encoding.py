@@ -50,8 +50,12 @@ def encode(df: DataFrame, column: str, codes: DataFrame, out: str,
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast hint only after the row count is checked against ``max_rows``.
 
-    Meant for dimension-like tables (codes, scores, stage tables); above the bound
-    the plain join lets the planner shuffle both sides.
+    Meant for dimension-like tables (codes, scores, stage tables): the table is
+    checkpointed once (so its lineage runs once, and the count is a cheap pass
+    over the written rows); above the bound the plain join lets the planner
+    shuffle both sides. A streaming DataFrame is returned unchanged.
     """
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    if df.isStreaming:
+        return df
+    d = cut_lineage(df)
+    return F.broadcast(d) if d.count() <= max_rows else d

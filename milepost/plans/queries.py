@@ -21,6 +21,7 @@ from ..operators.forecast import active_projects, forecast, with_current_stage
 from ..operators.models import ModelSet
 from ..operators.snapshot import snapshot
 from ..operators.stats import gap_stats, prior_medians, stage_durations
+from ..session import cut_lineage
 from ..sources.fixtures import Fixtures
 
 # request dates that do not parse fall back to this day (the service uses "today")
@@ -83,8 +84,10 @@ class Ctx:
 
     @property
     def master(self):
+        """The master dataset, written once per query (the snapshot of S4) so that
+        codes, statistics and features do not recompute it."""
         if self._m is None:
-            self._m = M.master_dataset(self.fx.sources())
+            self._m = cut_lineage(M.master_dataset(self.fx.sources()))
         return self._m
 
     @property
@@ -113,7 +116,7 @@ class Ctx:
     def mean_models(self):
         stats = gap_stats(self.rows).collect()          # six rows
         rc, dc = self.codes
-        return ModelSet.mean_only(stats, durations=stage_durations(self.rows),
+        return ModelSet.mean_only(stats, durations=cut_lineage(stage_durations(self.rows)),
                                   railway_codes=rc, division_codes=dc, scores=self.scores)
 
     def requests(self):

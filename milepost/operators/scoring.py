@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..constants import DATE_TEXT_FORMAT, GAPS, REQUEST_DEFAULTS, STAGE_INDEX, STAGES
+from ..constants import (DATE_TEXT_FORMAT, GAPS, OBJECTION_FEATURES, REQUEST_DEFAULTS,
+                         STAGE_INDEX, STAGES)
 from ..functions.columns import format_date
 from .features import build_features
 from .forecast import chain
@@ -77,9 +78,16 @@ def decode_requests(df: DataFrame, id_col: str = "request_id", body_col: str | N
 
 
 def score_requests(req: DataFrame, models: ModelSet, consistent: bool = False) -> DataFrame:
-    """P10: add days_k / date_k1 for every later stage; priors start empty."""
+    """P10: add days_k / date_k1 for every later stage; priors start empty.
+
+    A request carries no objection counts; when the models were trained with them
+    they arrive as NULL and take the training medians (the fitted imputation).
+    """
     feats = build_features(req, "request", models.railway_codes, models.division_codes,
                            models.scores, False, consistent)
+    if models.with_objections:
+        feats = feats.select("*", *[F.lit(None).cast("double").alias(c)
+                                    for c in OBJECTION_FEATURES if c not in feats.columns])
     return chain(feats, models, "current_idx", "start_date")
 
 

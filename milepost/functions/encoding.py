@@ -24,8 +24,10 @@ def fit_label_codes(df: DataFrame, column: str, partitions: int | None = None) -
     numbers its rows, and a per-partition offset (one row per partition) is added.
     """
     labels = df.select(label_of(F.col(column)).alias("label")).distinct()
-    n = partitions or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = cut_lineage(labels.repartitionByRange(n, "label").sortWithinPartitions("label")
+    # without a fixed count AQE may merge neighbouring ranges, which keeps their order
+    ranged = (labels.repartitionByRange(partitions, "label") if partitions
+              else labels.repartitionByRange("label"))
+    ordered = cut_lineage(ranged.sortWithinPartitions("label")
                           .withColumn("pid", F.spark_partition_id()))
     local = ordered.withColumn(
         "local", F.row_number().over(Window.partitionBy("pid").orderBy("label")) - 1)

@@ -162,3 +162,44 @@ def test_request_decoder(spark):
     assert r[2]["error"] is not None and r[2]["start_date"] == D(2025, 1, 1)
     assert r[3]["private_land"] == 0.0 and r[3]["court_case_count"] == 2
     assert r[3]["division"] == "DLI" and r[3]["states"] == "3" and r[3]["current_idx"] == 0
+
+
+def test_dedupe_keeps_one_allocation(spark):
+    pb = spark.createDataFrame([(1, "P1", 10, 1.0, 1.0, 1.0, 3.0, 0.0, 0.0, 1, "O")],
+                               "project_id long, project_name string, pink_book_ref long, "
+                               "government_land double, private_land double, forest_area double, "
+                               "total_land double, land_available double, land_to_be_acquired double, "
+                               "state_id int, status string")
+    al = spark.createDataFrame([("U10", 10, "W", "NR", "DLI", "A", "7", "27", "Started"),
+                                ("U10", 10, "W", "NR", "ADI", "A", "7", "27", "Started"),
+                                ("U10", 10, "W", "NR", "ADI", "A", "7", "27", "Started")],
+                               "uwid string, PROJECTID long, ShortNameofWork string, railway string, "
+                               "division string, exec_agency_rly string, states string, "
+                               "districts string, land_acq_status string")
+    assert M.project_base(pb, al).count() == 2           # DISTINCT, then one row per allocation
+    d = M.project_base(pb, al, dedupe=True).collect()
+    assert len(d) == 1 and d[0]["division"] == "ADI"
+
+
+def test_consistent_mode_uses_training_rules(spark):
+    m = _master_rows(spark)
+    ms = _mean_models(spark, m, [1.0] * 6)
+    f = {r["project_id"]: r for r in build_features(m, "project", ms.railway_codes,
+                                                    ms.division_codes, ms.scores,
+                                                    consistent=True).collect()}
+    assert f[1]["government_land"] == 0.0 and f[1]["primary_state"] == 0
+    assert f[1]["num_states"] == 1
+
+
+def test_snapshot_response_json(spark):
+    import json
+    from milepost.operators.snapshot import snapshot, snapshot_response
+    fc = spark.createDataFrame([(1, D(2020, 1, 1), D(2020, 2, 1), None, None, None, None, None)],
+                               "project_id long, " + ", ".join(f"{c} date" for c in STAGE_COLS))
+    t = spark.createDataFrame([(D(2020, 1, 15),)], "target_date date")
+    doc = json.loads(snapshot_response(snapshot(fc, t)).first()["response"])
+    assert doc["success"] is True and doc["target_date"] == "15-01-2020" and doc["total_active"] == 1
+    assert [s["stage"] for s in doc["stage_snapshot"]] == ["37A", "7A", "20A", "20E", "20F", "20H",
+                                                           "Mutation"]
+    assert [s["projects_reached"] for s in doc["stage_snapshot"]] == [1, 0, 0, 0, 0, 0, 0]
+    assert doc["stage_snapshot"][0]["percentage"] == 100.0

@@ -67,7 +67,7 @@ def decode_requests(df: DataFrame, id_col: str = "request_id", body_col: str | N
         out.append((val.cast("bigint") if f in INT_FIELDS else val).alias(f))
     out.append(F.concat_ws("; ", *errors).alias("__err"))
     d = raw.select(*out)
-    stage_idx = F.coalesce(F.element_at(F.create_map(*[x for s, i in STAGE_INDEX.items()
+    stage_idx = F.coalesce(F.try_element_at(F.create_map(*[x for s, i in STAGE_INDEX.items()
                                                        for x in (F.lit(s), F.lit(i))]),
                                         F.col("current_stage")), F.lit(0))
     return d.select(

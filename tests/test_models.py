@@ -99,3 +99,17 @@ def test_small_training_selects_a_model(spark):
     assert rep["cv_r2"] > 0.5 and rep["n"] == n
     out = pred.predict(df, {}, "p").select("p").collect()
     assert all(stats["min"] <= r["p"] <= stats["max"] for r in out)
+
+
+def test_bracketed_medians_equal_exact(spark):
+    from milepost.functions.quantiles import exact_medians
+    rng = random.Random(5)
+    rows = [(rng.gauss(0, 1), float(rng.randint(0, 3)), None if i % 7 == 0 else rng.random() * 1000,
+             5.0 if i % 3 else rng.random()) for i in range(20001)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, t double").repartition(4)
+    got = exact_medians(df, ["a", "b", "c", "t"], max_bracket=200, accuracy=500)
+    want = df.agg(*[F.median(c).alias(c) for c in "abct"]).first().asDict()
+    for c in "abct":
+        assert got[c] == pytest.approx(want[c], rel=1e-12, abs=1e-12)
+    empty = exact_medians(df.where("a > 100"), ["a"])
+    assert empty == {"a": None}

@@ -123,20 +123,19 @@ class ModelSet:
 
     # Predictors (pipelines + json metadata) and tables as parquet
     def save(self, path: str) -> None:
-        spark = None
+        from pyspark.sql import SparkSession
+        spark = SparkSession.getActiveSession()
         for p in self.predictors:
             p.save(os.path.join(path, "pipelines"))
         for name in ["durations", "railway_codes", "division_codes", "scores"]:
             df = getattr(self, name)
             if df is not None:
-                spark = df.sparkSession
                 df.write.mode("overwrite").parquet(os.path.join(path, name))
         meta = {"with_objections": self.with_objections,
                 "predictors": [p.meta() for p in self.predictors]}
-        if spark is not None:
-            # written through Spark so the path may live on any Hadoop file system
-            spark.createDataFrame([(json.dumps(meta),)], "meta string") \
-                .coalesce(1).write.mode("overwrite").text(os.path.join(path, "meta"))
+        # written through Spark so the path may live on any Hadoop file system
+        spark.createDataFrame([(json.dumps(meta),)], "meta string") \
+            .coalesce(1).write.mode("overwrite").text(os.path.join(path, "meta"))
 
     # S7
     @classmethod

@@ -64,6 +64,21 @@ def test_train_forecast_snapshot_jobs(spark):
     assert {p.gap: p.kind for p in ms.predictors} == {g: r["model"] for g, r in rep.items()}
     learned = [p for p in ms.predictors if p.model is not None]
     assert all(p.features and p.medians for p in learned)
+    # the reloaded pipelines score a request stream exactly as a batch
+    src = tempfile.mkdtemp(prefix="req-src-")
+    with open(os.path.join(src, "a.json"), "w") as f:
+        for i, stage in enumerate(["37A", "7A", "20A", "20E", "XX"]):
+            body = {"railway": "CR", "current_stage": stage, "current_date": f"{i + 1}-3-1996",
+                    "states": "5, 7", "government_land": 10 * i}
+            f.write(json.dumps({"request_id": i, "body": json.dumps(body)}) + "\n")
+    sink, ckpt = tempfile.mkdtemp(prefix="req-out-"), tempfile.mkdtemp(prefix="req-ck-")
+    q = start_request_scoring(spark, src, sink, ckpt, ms, as_of="2025-01-01", available_now=True)
+    q.awaitTermination(300)
+    got = spark.read.parquet(sink)
+    batch = envelope(score_requests(decode_requests(
+        spark.read.schema("request_id long, body string").json(src), body_col="body",
+        as_of="2025-01-01"), ms))
+    assert got.count() == 5 and got.exceptAll(batch.select(*got.columns)).count() == 0
 
 
 def test_stream_scoring_equals_batch(spark):
@@ -86,3 +101,13 @@ def test_stream_scoring_equals_batch(spark):
         as_of="2025-01-01"), mm))
     assert got.count() == 40
     assert got.exceptAll(batch.select(*got.columns)).count() == 0
+
+
+def test_objection_models_score_requests(spark):
+    c = Ctx(spark, SF_SMALL)
+    models, report = jobs.fit_models(c.master, c.scores, LIGHT, with_objections=True)
+    learned = [p for p in models.predictors if p.model is not None]
+    assert learned and all("objection_count" in p.features for p in learned)
+    scored = score_requests(c.requests(), models)
+    env = envelope(scored).where("success").select("n_predictions").collect()
+    assert len(env) == c.fx["requests"].count()

@@ -69,8 +69,11 @@ def forecast(master: DataFrame, models: ModelSet, consistent: bool = False) -> D
     stage date columns and ``predicted_<stage>`` flags.
     """
     act = active_projects(master)
-    feats = build_features(act, "project", models.railway_codes, models.division_codes,
-                           models.scores, models.with_objections, consistent)
+    if models.needs_features:
+        feats = build_features(act, "project", models.railway_codes, models.division_codes,
+                               models.scores, models.with_objections, consistent)
+    else:
+        feats = with_gaps(act)
     d = with_current_stage(feats)
     actual = {k: F.col(g) for k, g in enumerate(GAPS)}
     d = chain(d, models, "current_idx", "current_date", actual)

@@ -110,6 +110,11 @@ class ModelSet:
     def __getitem__(self, k: int) -> GapPredictor:
         return self.predictors[k]
 
+    @property
+    def needs_features(self) -> bool:
+        """Mean predictors ignore the features, so a mean-only set skips building them."""
+        return any(p.model is not None for p in self.predictors)
+
     @classmethod
     def mean_only(cls, stats_rows: list, **tables) -> ModelSet:
         by_gap = {r["gap"]: r for r in stats_rows}

@@ -83,6 +83,8 @@ def score_requests(req: DataFrame, models: ModelSet, consistent: bool = False) -
     A request carries no objection counts; when the models were trained with them
     they arrive as NULL and take the training medians (the fitted imputation).
     """
+    if not models.needs_features:
+        return chain(req, models, "current_idx", "start_date")
     feats = build_features(req, "request", models.railway_codes, models.division_codes,
                            models.scores, False, consistent)
     if models.with_objections:

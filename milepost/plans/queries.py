@@ -114,10 +114,12 @@ class Ctx:
         return build_features(df, mode, rc, dc, self.scores, with_objections)
 
     def mean_models(self):
-        stats = gap_stats(self.rows).collect()          # six rows
-        rc, dc = self.codes
-        return ModelSet.mean_only(stats, durations=cut_lineage(stage_durations(self.rows)),
-                                  railway_codes=rc, division_codes=dc, scores=self.scores)
+        """Mean predictors: six statistic rows and the six-row duration table (both
+        model-sized, so they travel as values); no codes or scores are needed."""
+        stats = gap_stats(self.rows).collect()
+        dur = stage_durations(self.rows)
+        durations = self.spark.createDataFrame(dur.collect(), dur.schema)
+        return ModelSet.mean_only(stats, durations=durations)
 
     def requests(self):
         return S.decode_requests(self.fx["requests"], rename={"current_date": "current_date_text"},

@@ -181,9 +181,10 @@ def court_case_summary(court_case: DataFrame, details: DataFrame, per_case: bool
         F.min(_as_date("from_date")).alias("first_court_case_date"),
         F.max(_as_date("to_date")).alias("last_court_case_date"),
         F.coalesce(F.sum("area"), F.lit(0.0)).alias("total_disputed_area"))
+    # `cases` is already partitioned by case_id (output of the per-case join)
     pairs = (details.where(F.col("survey_id").isNotNull())
              .select("case_id", "survey_id").distinct()
-             .join(court_case.select("case_id", "project_id"), "case_id", "inner"))
+             .join(cases.select("case_id", "project_id"), "case_id", "inner"))
     surveys = pairs.groupBy("project_id").agg(
         F.count_distinct("survey_id").alias("disputed_surveys"))
     return per_project.join(surveys, "project_id", "left").select(

@@ -31,6 +31,10 @@ def test_every_query_is_registered():
                                      "snapshot_learned", "score_requests_learned"}
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "date": "DATE", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, con, name):
     sdf = E.queries()[name](spark, SF_SMALL)
@@ -39,6 +43,12 @@ def test_query_matches_oracle(spark, con, name):
     assert sc == dc
     assert len(sr) == len(dr)
     assert sr == dr
+    # same column types on both engines
+    rel = con.sql(ORACLES[name])
+    duck = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in sdf.schema.fields}
+    assert spark_types == duck
 
 
 def test_entry_runs(spark):

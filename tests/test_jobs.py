@@ -111,3 +111,28 @@ def test_objection_models_score_requests(spark):
     scored = score_requests(c.requests(), models)
     env = envelope(scored).where("success").select("n_predictions").collect()
     assert len(env) == c.fx["requests"].count()
+
+
+def test_service_calls(spark):
+    from milepost.operators.forecast import forecast
+    from milepost.plans import service
+    c = Ctx(spark, SF_SMALL)
+    mm = c.mean_models()
+    fc = forecast(c.master, mm)
+    h = service.health(fc).first()
+    assert h["status"] == "ok" and h["active_projects"] == fc.count()
+    req = spark.createDataFrame(
+        [(1, json.dumps({"current_stage": "20A", "current_date": "12-11-2025"})),
+         (2, json.dumps({"government_land": "lots"}))], "request_id long, body string")
+    out = {r["request_id"]: json.loads(r["response"]) for r in service.predict_stages(req, mm).collect()}
+    assert out[1]["success"] and [p["stage"] for p in out[1]["predictions"]] == [
+        "20E", "20F", "20H", "Mutation"]
+    running = [p["gap_from_now"] for p in out[1]["predictions"]]
+    assert running == sorted(running) and out[1]["current_date"] == "12-11-2025"
+    assert out[2]["success"] is False and "government_land" in out[2]["error"]
+    texts = spark.createDataFrame([("31-12-1996",), ("31-02-1996",)], "target_date string")
+    snap = {r["target_input"]: json.loads(r["response"])
+            for r in service.pipeline_snapshot(fc, texts, mm).collect()}
+    assert snap["31-02-1996"] == {"success": False, "error": service.BAD_DATE}
+    good = snap["31-12-1996"]
+    assert good["total_active"] == h["active_projects"] and len(good["stage_snapshot"]) == 7

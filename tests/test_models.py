@@ -107,9 +107,10 @@ def test_bracketed_medians_equal_exact(spark):
     rows = [(rng.gauss(0, 1), float(rng.randint(0, 3)), None if i % 7 == 0 else rng.random() * 1000,
              5.0 if i % 3 else rng.random()) for i in range(20001)]
     df = spark.createDataFrame(rows, "a double, b double, c double, t double").repartition(4)
-    got = exact_medians(df, ["a", "b", "c", "t"], max_bracket=200, accuracy=500)
+    got = exact_medians(df, ["a", "b", "c", "t"], max_bracket=200, accuracy=500, direct_limit=100)
     want = df.agg(*[F.median(c).alias(c) for c in "abct"]).first().asDict()
     for c in "abct":
         assert got[c] == pytest.approx(want[c], rel=1e-12, abs=1e-12)
+    assert exact_medians(df, ["a", "c"]) == {"a": want["a"], "c": want["c"]}   # direct path
     empty = exact_medians(df.where("a > 100"), ["a"])
     assert empty == {"a": None}

@@ -8,9 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-
-from ..constants import BASE_FEATURES, GAPS, OBJECTION_FEATURES, STAGE_COLS
+from ..constants import BASE_FEATURES, GAPS, OBJECTION_FEATURES
 from ..functions import columns as C
 from ..functions.encoding import encode, fit_label_codes
 from ..operators import master as M
@@ -43,7 +41,7 @@ def q_allocation_distinct(spark, sf_dir):
 
 def q_project_base(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    return M.project_base(fx["project_basic"], fx["AllocationWise"]).drop()
+    return M.project_base(fx["project_basic"], fx["AllocationWise"])
 
 
 def q_first_stage_dates(spark, sf_dir):

@@ -20,7 +20,7 @@ from ..operators.features import build_features, feature_names
 from ..operators.forecast import forecast
 from ..operators.master import master_dataset
 from ..operators.models import ModelSet
-from ..operators.snapshot import snapshot
+from ..operators.snapshot import snapshot_from_counts, stage_day_counts
 from ..operators.training import REFERENCE, Preset, durations_report, train_all
 from ..sources.tables import read_snapshot, write_snapshot
 
@@ -62,15 +62,23 @@ def write_report(spark, master: DataFrame, models: ModelSet, report: DataFrame,
         .write.mode("overwrite").text(path)
 
 
+def counts_path(forecast_path: str) -> str:
+    return forecast_path.rstrip("/") + "_stage_day_counts"
+
+
 def forecast_job(spark: SparkSession, snapshot_root: str, model_dir: str, out_path: str,
                  targets: DataFrame | None = None) -> DataFrame | None:
-    """Forecast every active project once, store it, answer snapshots from the store."""
+    """Forecast every active project once and store it (P12) together with its
+    per-(stage, day) counts; snapshots are answered from the counts."""
     master = read_snapshot(spark, snapshot_root, with_runs=False)
     models = ModelSet.load(spark, model_dir)
     forecast(master, models).write.mode("overwrite").parquet(out_path)
+    stage_day_counts(spark.read.parquet(out_path)).write.mode("overwrite") \
+        .parquet(counts_path(out_path))
     if targets is None:
         return None
-    return snapshot(spark.read.parquet(out_path), targets, models.durations)
+    return snapshot_from_counts(spark.read.parquet(counts_path(out_path)), targets,
+                                models.durations)
 
 
 def stage_snapshot(spark: SparkSession, forecast_path: str, model_dir: str,
@@ -79,7 +87,8 @@ def stage_snapshot(spark: SparkSession, forecast_path: str, model_dir: str,
     from ..operators.snapshot import parse_targets
     models = ModelSet.load(spark, model_dir)
     t = parse_targets(spark.createDataFrame([(x,) for x in target_texts], "target_date string"))
-    snap = snapshot(spark.read.parquet(forecast_path), t, models.durations)
+    snap = snapshot_from_counts(spark.read.parquet(counts_path(forecast_path)), t,
+                                models.durations)
     bad = t.where(F.col("target_date").isNull()).select(
         F.col("target_input"), F.lit("Invalid date. Use DD-MM-YYYY").alias("error"))
     return snap.unionByName(bad, allowMissingColumns=True)

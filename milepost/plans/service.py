@@ -15,11 +15,17 @@ from pyspark.sql import functions as F
 from ..constants import DATE_TEXT_FORMAT
 from ..operators.models import ModelSet
 from ..operators.scoring import decode_requests, envelope, score_requests
-from ..operators.snapshot import snapshot, snapshot_response
+from ..operators.snapshot import (snapshot, snapshot_from_counts, snapshot_response,
+                                  stage_day_counts)
 
 BAD_DATE = "Invalid date. Use DD-MM-YYYY"
 
 
+def stage_counts(forecast: DataFrame) -> DataFrame:
+    """The calendar-sized table every snapshot needs; store it next to the forecast."""
+    return stage_day_counts(forecast)
+
+
 def health(forecast: DataFrame) -> DataFrame:
     """Status row with the active-project count (rows of the stored forecast)."""
     return forecast.agg(F.count(F.lit(1)).alias("active_projects")) \
@@ -33,14 +39,18 @@ def predict_stages(requests: DataFrame, models: ModelSet, as_of=None) -> DataFra
     return envelope(score_requests(req, models)).select("request_id", "success", "response")
 
 
-def pipeline_snapshot(forecast: DataFrame, target_texts: DataFrame, models: ModelSet,
-                      column: str = "target_date") -> DataFrame:
+def pipeline_snapshot(forecast: DataFrame | None, target_texts: DataFrame, models: ModelSet,
+                      column: str = "target_date", counts: DataFrame | None = None) -> DataFrame:
     """Task 2: ``target_texts`` holds ``dd-mm-yyyy`` texts; returns
     (target_input, success, response). A text that is not a date gets the error
-    envelope; every valid date is answered by one snapshot job."""
+    envelope; every valid date is answered by one snapshot job, from the stored
+    per-(stage, day) ``counts`` when given, else from the forecast."""
     t = target_texts.select(F.col(column).alias("target_input"),
                             F.try_to_date(F.col(column), DATE_TEXT_FORMAT).alias("target_date"))
-    snap = snapshot(forecast, t, models.durations)
+    if counts is not None:
+        snap = snapshot_from_counts(counts, t, models.durations)
+    else:
+        snap = snapshot(forecast, t, models.durations)
     good = snapshot_response(snap).join(t.where(F.col("target_date").isNotNull()), "target_date") \
         .select("target_input", F.lit(True).alias("success"), "response")
     bad = t.where(F.col("target_date").isNull()).select(

@@ -114,3 +114,16 @@ def test_bracketed_medians_equal_exact(spark):
     assert exact_medians(df, ["a", "c"]) == {"a": want["a"], "c": want["c"]}   # direct path
     empty = exact_medians(df.where("a > 100"), ["a"])
     assert empty == {"a": None}
+
+
+def test_snapshot_from_stored_counts_equals_direct(spark, tmp_path):
+    from milepost.operators.snapshot import snapshot_from_counts, stage_day_counts
+    base = dt.date(2021, 1, 1)
+    rows = [(i, base + dt.timedelta(days=i % 50), None if i % 3 else base + dt.timedelta(days=i),
+             None, None, None, None, None) for i in range(300)]
+    fc = spark.createDataFrame(rows, "project_id long, " + ", ".join(f"{c} date" for c in STAGE_COLS))
+    stage_day_counts(fc).write.parquet(str(tmp_path / "counts"))
+    t = spark.createDataFrame([(base + dt.timedelta(days=d),) for d in (10, 40, 400)], "target_date date")
+    direct = snapshot(fc, t)
+    stored = snapshot_from_counts(spark.read.parquet(str(tmp_path / "counts")), t)
+    assert direct.exceptAll(stored).count() == 0 and stored.exceptAll(direct).count() == 0

@@ -127,3 +127,40 @@ def test_snapshot_from_stored_counts_equals_direct(spark, tmp_path):
     direct = snapshot(fc, t)
     stored = snapshot_from_counts(spark.read.parquet(str(tmp_path / "counts")), t)
     assert direct.exceptAll(stored).count() == 0 and stored.exceptAll(direct).count() == 0
+
+
+def test_training_is_deterministic(spark):
+    from milepost.constants import BASE_FEATURES
+    rng = np.random.default_rng(4)
+    data = []
+    for i in range(100):
+        x = [float(v) for v in rng.normal(size=len(BASE_FEATURES))]
+        data.append((i, *x, 40 + 5 * x[0] + float(rng.normal())))
+    cols = ["project_id"] + BASE_FEATURES + [GAPS[0]]
+    df = spark.createDataFrame(data, ", ".join(f"{c} {'long' if c == 'project_id' else 'double'}"
+                                               for c in cols)).repartition(3, "project_id")
+    stats = {"n": 100, "mean": 40.0, "min": 0.0, "max": 100.0}
+    p1, r1 = train_gap(df, 0, stats, LIGHT)
+    p2, r2 = train_gap(df, 0, stats, LIGHT)
+    assert r1 == r2
+    a = [r["p"] for r in p1.predict(df, {}, "p").orderBy("project_id").collect()]
+    b = [r["p"] for r in p2.predict(df, {}, "p").orderBy("project_id").collect()]
+    assert a == b
+
+
+def test_learned_forecast_never_goes_back(spark):
+    from conftest import SF_SMALL
+    from milepost.constants import STAGES
+    from milepost.plans import queries as Q
+    c = Q.Ctx(spark, SF_SMALL)
+    models, report = Q.learned_models(c)
+    assert all(p.lo >= 0 for p in models.predictors)          # every gap minimum is >= 0 here
+    fc = Q.q_forecast_learned(spark, SF_SMALL).collect()
+    assert fc
+    for r in fc:
+        prev = r["current_date"]
+        for k in range(1, 7):
+            if r[f"predicted_{STAGES[k]}"]:
+                d = r[STAGE_COLS[k]]
+                assert d >= prev
+                prev = d

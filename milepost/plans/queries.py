@@ -73,19 +73,22 @@ def q_master_dataset(spark, sf_dir):
 class Ctx:
     """Per-call plan pieces (lazy DataFrames; nothing is computed until used)."""
 
-    def __init__(self, spark, sf_dir):
+    def __init__(self, spark, sf_dir, store: bool = True):
         self.spark = spark
         self.fx = Fixtures(spark, sf_dir)
+        self.store = store
         self._m = None
         self._codes = None
         self._scores = None
 
     @property
     def master(self):
-        """The master dataset, written once per query (the snapshot of S4) so that
-        codes, statistics and features do not recompute it."""
+        """The master dataset. A query that reads it more than once (codes, statistics
+        and features) writes it once first, as the snapshot of S4 does; a query that
+        reads it once keeps the plain plan (``store=False``)."""
         if self._m is None:
-            self._m = cut_lineage(M.master_dataset(self.fx.sources()))
+            m = M.master_dataset(self.fx.sources())
+            self._m = cut_lineage(m) if self.store else m
         return self._m
 
     @property
@@ -139,7 +142,7 @@ def q_parse_dates(spark, sf_dir):
 
 
 def q_stage_gaps(spark, sf_dir):
-    return Ctx(spark, sf_dir).rows.select("project_id", *GAPS)
+    return Ctx(spark, sf_dir, store=False).rows.select("project_id", *GAPS)
 
 
 def q_label_codes(spark, sf_dir):
@@ -157,7 +160,7 @@ def q_safe_encode(spark, sf_dir):
 
 
 def q_list_features(spark, sf_dir):
-    m = Ctx(spark, sf_dir).master
+    m = Ctx(spark, sf_dir, store=False).master
     return m.select("project_id", "states", "districts",
                     C.first_token_int("states", 0).cast("bigint").alias("primary_state"),
                     C.first_token_int("districts", 0).cast("bigint").alias("primary_district"),
@@ -203,7 +206,7 @@ def q_digitalization_scores(spark, sf_dir):
 
 
 def q_digitalization_features(spark, sf_dir):
-    c = Ctx(spark, sf_dir)
+    c = Ctx(spark, sf_dir, store=False)
     m = c.master.select("project_id", "states",
                         C.first_token_int("states", 0).cast("bigint").alias("primary_state"))
     return _round(add_digitalization(m, c.scores),
@@ -224,26 +227,26 @@ def q_training_features_obj(spark, sf_dir):
 # -- A queries --------------------------------------------------------------
 
 def q_gap_stats(spark, sf_dir):
-    return _round(gap_stats(Ctx(spark, sf_dir).rows), ["mean", "std", "min", "max"])
+    return _round(gap_stats(Ctx(spark, sf_dir, store=False).rows), ["mean", "std", "min", "max"])
 
 
 def q_prior_medians(spark, sf_dir):
-    return prior_medians(Ctx(spark, sf_dir).rows)
+    return prior_medians(Ctx(spark, sf_dir, store=False).rows)
 
 
 def q_stage_durations(spark, sf_dir):
-    d = stage_durations(Ctx(spark, sf_dir).rows)
+    d = stage_durations(Ctx(spark, sf_dir, store=False).rows)
     return _round(d, ["lognorm_mu", "lognorm_sigma", "min", "max", "p25", "p50", "p75",
                       "mean", "std"])
 
 
 def q_active_projects(spark, sf_dir):
-    a = active_projects(Ctx(spark, sf_dir).master)
+    a = active_projects(Ctx(spark, sf_dir, store=False).master)
     return a.select("project_id", "allocation_project_id", "division", "date_37A")
 
 
 def q_current_stage(spark, sf_dir):
-    a = with_gaps(with_current_stage(active_projects(Ctx(spark, sf_dir).master)))
+    a = with_gaps(with_current_stage(active_projects(Ctx(spark, sf_dir, store=False).master)))
     return a.select("project_id", "current_idx", "current_stage", "current_date", *GAPS)
 
 

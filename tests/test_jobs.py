@@ -136,3 +136,27 @@ def test_service_calls(spark):
     assert snap["31-02-1996"] == {"success": False, "error": service.BAD_DATE}
     good = snap["31-12-1996"]
     assert good["total_active"] == h["active_projects"] and len(good["stage_snapshot"]) == 7
+
+
+def test_command_line(spark, capsys):
+    from milepost.__main__ import main
+    from milepost.sources.fixtures import SOURCE_TABLES
+    work = tempfile.mkdtemp(prefix="cli-")
+    fx = Fixtures(spark, SF_SMALL)
+    for n in SOURCE_TABLES:
+        fx[n].write.parquet(f"{work}/sources/{n}")
+    assert main(["train", "--sources", f"{work}/sources", "--master", f"{work}/master",
+                 "--models", f"{work}/models", "--preset", "light"]) == 0
+    assert main(["forecast", "--master", f"{work}/master", "--models", f"{work}/models",
+                 "--out", f"{work}/fc"]) == 0
+    capsys.readouterr()
+    assert main(["snapshot", "--forecast", f"{work}/fc", "--models", f"{work}/models",
+                 "--dates", "31-12-1996", "bad"]) == 0
+    lines = [json.loads(x) for x in capsys.readouterr().out.strip().splitlines()]
+    assert sorted(x["success"] for x in lines) == [False, True]
+    with open(f"{work}/req.json", "w") as f:
+        f.write(json.dumps({"request_id": 1, "body": json.dumps({"current_stage": "20F"})}) + "\n")
+    assert main(["predict", "--requests", f"{work}/req.json", "--models", f"{work}/models",
+                 "--out", f"{work}/pred", "--as-of", "2025-01-01"]) == 0
+    resp = json.loads(spark.read.json(f"{work}/pred").first()["response"])
+    assert [p["stage"] for p in resp["predictions"]] == ["20H", "Mutation"]

@@ -17,7 +17,7 @@ from ..operators.digitalization import add_digitalization, digitalization_scores
 from ..operators.features import build_features, with_dates, with_gaps
 from ..operators.forecast import active_projects, forecast, with_current_stage
 from ..operators.models import ModelSet
-from ..operators.snapshot import snapshot
+from ..operators.snapshot import snapshot, snapshot_response
 from ..operators.stats import gap_stats, prior_medians, stage_durations
 from ..session import cut_lineage
 from ..sources.fixtures import Fixtures
@@ -288,6 +288,11 @@ def q_snapshot_many_dates(spark, sf_dir):
     return snapshot(forecast(c.master, mm), _targets(c), mm.durations)
 
 
+def q_snapshot_envelope(spark, sf_dir):
+    """S10 for Task 2: one JSON response per target date."""
+    return snapshot_response(q_snapshot_many_dates(spark, sf_dir))
+
+
 def q_score_requests_mean(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     return S.predictions_long(S.score_requests(c.requests(), c.mean_models()))
@@ -300,8 +305,7 @@ def q_request_envelope(spark, sf_dir):
     body = F.regexp_replace(body, '"current_date_text"', '"current_date"')
     req = S.decode_requests(r.select("request_id", body.alias("body")), body_col="body",
                             as_of=AS_OF)
-    env = S.envelope(S.score_requests(req, c.mean_models()))
-    return env.drop("response")
+    return S.envelope(S.score_requests(req, c.mean_models()))
 
 
 # -- learned models (rows-only checks) ---------------------------------------
@@ -388,6 +392,7 @@ def queries() -> dict[str, Query]:
         "forecast_mean": q_forecast_mean,
         "snapshot_mean": q_snapshot_mean,
         "snapshot_many_dates": q_snapshot_many_dates,
+        "snapshot_envelope": q_snapshot_envelope,
         "score_requests_mean": q_score_requests_mean,
         "request_envelope": q_request_envelope,
         "cv_folds": q_cv_folds,

@@ -240,6 +240,12 @@ def q_stage_durations(spark, sf_dir):
                       "mean", "std"])
 
 
+def q_report_durations(spark, sf_dir):
+    """The stage-duration block of the training report (values rounded to 4 places)."""
+    from ..operators.training import durations_report
+    return durations_report(stage_durations(Ctx(spark, sf_dir, store=False).rows))
+
+
 def q_active_projects(spark, sf_dir):
     a = active_projects(Ctx(spark, sf_dir, store=False).master)
     return a.select("project_id", "allocation_project_id", "division", "date_37A")
@@ -386,6 +392,7 @@ def queries() -> dict[str, Query]:
         "gap_stats": q_gap_stats,
         "prior_medians": q_prior_medians,
         "stage_durations": q_stage_durations,
+        "report_durations": q_report_durations,
         "active_projects": q_active_projects,
         "current_stage": q_current_stage,
         "clamp_round": q_clamp_round,

@@ -320,14 +320,19 @@ _TRAINED: dict = {}
 
 
 def learned_models(c: Ctx):
-    """Train once per session and test-data folder (LIGHT preset: 10 boosting
-    rounds, 20 forest trees; the library default keeps the original sizes)."""
-    from ..operators.training import LIGHT, train_all
-    key = (c.spark.sparkContext.applicationId, c.fx.sf_dir)
+    """Train once per session, test-data folder and preset.
+
+    The preset is ``MILEPOST_PRESET`` (``light`` by default: 10 boosting rounds,
+    20 forest trees; ``reference`` keeps the original 200 / 200)."""
+    import os
+    from ..operators.training import LIGHT, REFERENCE, train_all
+    name = os.environ.get("MILEPOST_PRESET", "light").lower()
+    preset = REFERENCE if name == "reference" else LIGHT
+    key = (c.spark.sparkContext.applicationId, c.fx.sf_dir, name)
     if key not in _TRAINED:
         rc, dc = c.codes
         feats = build_features(c.master, "train", rc, dc, c.scores, False)
-        _TRAINED[key] = train_all(feats, rc, dc, c.scores, LIGHT)
+        _TRAINED[key] = train_all(feats, rc, dc, c.scores, preset)
     return _TRAINED[key]
 
 

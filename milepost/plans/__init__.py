@@ -1 +1 @@
-
+"""Jobs, service calls, registered queries and their DuckDB oracles."""

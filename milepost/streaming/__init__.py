@@ -1,0 +1 @@
+"""Structured Streaming entry points (stateless request scoring)."""

@@ -76,3 +76,27 @@ def stage_durations(df: DataFrame) -> DataFrame:
             .select("stage_idx", "stage", "lognorm_mu", "lognorm_sigma", "min", "max",
                     F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"),
                     F.col("q")[2].alias("p75"), "mean", "std", "n"))
+
+
+def summary_stats(df: DataFrame) -> DataFrame:
+    """A1 and A3-A5 in one aggregate (one scan of the training rows).
+
+    Rows ``kind = 'gap'`` (idx 0..5: mean, std, min, max, n) and ``kind = 'stage'``
+    (idx 1..6: the stage durations with lognormal fit and quartiles); twelve rows
+    at most, so the mean predictors and the duration table can travel as values.
+    """
+    items = [F.struct(F.lit("gap").alias("kind"), F.lit(k).alias("idx"), F.lit(g).alias("name"),
+                      F.col(g).cast("double").alias("v")) for k, g in enumerate(GAPS)]
+    running = None
+    for k, stage in enumerate(STAGES[1:]):
+        running = F.col(GAPS[k]) if running is None else running + F.col(GAPS[k])
+        items.append(F.struct(F.lit("stage").alias("kind"), F.lit(k + 1).alias("idx"),
+                              F.lit(stage).alias("name"), running.cast("double").alias("v")))
+    long = df.select(F.inline(F.array(*items))).where(F.col("v").isNotNull())
+    ln = F.ln(F.col("v") + 1)
+    q = F.percentile(F.col("v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return (long.groupBy("kind", "idx", "name")
+            .agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+                 F.min("v").alias("min"), F.max("v").alias("max"),
+                 F.count(F.lit(1)).alias("n"), F.avg(ln).alias("lognorm_mu"),
+                 F.stddev_samp(ln).alias("lognorm_sigma"), q.alias("q")))

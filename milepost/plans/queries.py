@@ -18,12 +18,15 @@ from ..operators.features import build_features, with_dates, with_gaps
 from ..operators.forecast import active_projects, forecast, with_current_stage
 from ..operators.models import ModelSet
 from ..operators.snapshot import snapshot, snapshot_response
-from ..operators.stats import gap_stats, prior_medians, stage_durations
+from ..operators.stats import gap_stats, prior_medians, stage_durations, summary_stats
 from ..session import cut_lineage
 from ..sources.fixtures import Fixtures
 
 # request dates that do not parse fall back to this day (the service uses "today")
 AS_OF = _dt.date(2025, 1, 1)
+DURATION_SCHEMA = ("stage_idx int, stage string, lognorm_mu double, lognorm_sigma double, "
+                   "min double, max double, p25 double, p50 double, p75 double, mean double, "
+                   "std double, n bigint")
 FLOAT_FEATURES = ["government_land", "private_land", "forest_area", "land_difficulty_score",
                   "forest_proportion", "private_proportion", "govt_proportion",
                   "digitalization_score", "digitalization_delay"]
@@ -115,11 +118,15 @@ class Ctx:
         return build_features(df, mode, rc, dc, self.scores, with_objections)
 
     def mean_models(self):
-        """Mean predictors: six statistic rows and the six-row duration table (both
-        model-sized, so they travel as values); no codes or scores are needed."""
-        stats = gap_stats(self.rows).collect()
-        dur = stage_durations(self.rows)
-        durations = self.spark.createDataFrame(dur.collect(), dur.schema)
+        """Mean predictors from one aggregate: six gap statistic rows and the six-row
+        duration table (model-sized, so they travel as values); no codes or scores."""
+        rows = summary_stats(self.rows).collect()            # twelve rows at most
+        stats = [{"gap": r["name"], "mean": r["mean"], "min": r["min"], "max": r["max"],
+                  "n": r["n"]} for r in rows if r["kind"] == "gap"]
+        dur = [(r["idx"], r["name"], r["lognorm_mu"], r["lognorm_sigma"], r["min"], r["max"],
+                r["q"][0], r["q"][1], r["q"][2], r["mean"], r["std"], r["n"])
+               for r in rows if r["kind"] == "stage"]
+        durations = self.spark.createDataFrame(dur, DURATION_SCHEMA)
         return ModelSet.mean_only(stats, durations=durations)
 
     def requests(self):
@@ -300,12 +307,12 @@ def q_snapshot_envelope(spark, sf_dir):
 
 
 def q_score_requests_mean(spark, sf_dir):
-    c = Ctx(spark, sf_dir)
+    c = Ctx(spark, sf_dir, store=False)
     return S.predictions_long(S.score_requests(c.requests(), c.mean_models()))
 
 
 def q_request_envelope(spark, sf_dir):
-    c = Ctx(spark, sf_dir)
+    c = Ctx(spark, sf_dir, store=False)
     r = c.fx["requests"]
     body = F.to_json(F.struct(*[F.col(x) for x in r.columns if x != "request_id"]))
     body = F.regexp_replace(body, '"current_date_text"', '"current_date"')

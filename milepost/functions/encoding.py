@@ -16,27 +16,40 @@ def label_of(c: Column) -> Column:
 
 
 def fit_label_codes(df: DataFrame, column: str, partitions: int | None = None) -> DataFrame:
-    """(label, code) where code is the rank of the label among the sorted distinct labels.
+    """F3 for one column: (label, code); see ``fit_label_codes_many``."""
+    return fit_label_codes_many(df, [column], partitions)[column]
 
-    Sorting is binary (``CSTM`` < ``Corporate Office``). The rank is computed
-    without a global window: labels are range-partitioned and sorted, the sorted
-    table is checkpointed (so the range boundaries are fixed), every partition
-    numbers its rows, and a per-partition offset (one row per partition) is added.
+
+def fit_label_codes_many(df: DataFrame, columns: list[str],
+                         partitions: int | None = None) -> dict[str, DataFrame]:
+    """per column, (label, code) where code is the rank of the label among the
+    sorted distinct labels of that column.
+
+    Sorting is binary (``CSTM`` < ``Corporate Office``). All columns share one
+    distinct pass and one range sort, and the rank needs no global window: the
+    (column, label) pairs are range-partitioned and sorted, the sorted table is
+    written once (so the range boundaries are fixed), every partition numbers its
+    rows per column, and a per-(column, partition) offset is added; the offset
+    table has one row per column and partition, not per label.
     """
-    labels = df.select(label_of(F.col(column)).alias("label")).distinct()
+    items = [F.struct(F.lit(c).alias("column"), label_of(F.col(c)).alias("label"))
+             for c in columns]
+    labels = df.select(F.inline(F.array(*items))).distinct()
     # without a fixed count AQE may merge neighbouring ranges, which keeps their order
-    ranged = (labels.repartitionByRange(partitions, "label") if partitions
-              else labels.repartitionByRange("label"))
-    ordered = cut_lineage(ranged.sortWithinPartitions("label")
+    ranged = (labels.repartitionByRange(partitions, "column", "label") if partitions
+              else labels.repartitionByRange("column", "label"))
+    ordered = cut_lineage(ranged.sortWithinPartitions("column", "label")
                           .withColumn("pid", F.spark_partition_id()))
     local = ordered.withColumn(
-        "local", F.row_number().over(Window.partitionBy("pid").orderBy("label")) - 1)
-    sizes = ordered.groupBy("pid").agg(F.count(F.lit(1)).alias("cnt"))
-    # one row per partition: bounded by the partition count, not by the data
-    offsets = sizes.select("pid", (F.sum("cnt").over(Window.orderBy("pid")) - F.col("cnt"))
-                           .alias("start"))
-    return (local.join(F.broadcast(offsets), "pid")
-            .select("label", (F.col("start") + F.col("local")).cast("int").alias("code")))
+        "local", F.row_number().over(Window.partitionBy("column", "pid").orderBy("label")) - 1)
+    sizes = ordered.groupBy("column", "pid").agg(F.count(F.lit(1)).alias("cnt"))
+    offsets = sizes.select(
+        "column", "pid",
+        (F.sum("cnt").over(Window.partitionBy("column").orderBy("pid")) - F.col("cnt"))
+        .alias("start"))
+    codes = (local.join(F.broadcast(offsets), ["column", "pid"])
+             .select("column", "label", (F.col("start") + F.col("local")).cast("int").alias("code")))
+    return {c: codes.where(F.col("column") == c).select("label", "code") for c in columns}
 
 
 def encode(df: DataFrame, column: str, codes: DataFrame, out: str,

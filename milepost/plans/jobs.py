@@ -14,7 +14,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.encoding import fit_label_codes
+from ..functions.encoding import fit_label_codes_many
 from ..operators.digitalization import default_state_dim, digitalization_scores
 from ..operators.features import build_features, feature_names
 from ..operators.forecast import forecast
@@ -28,8 +28,8 @@ from ..sources.tables import read_snapshot, write_snapshot
 def fit_models(master: DataFrame, scores: DataFrame, preset: Preset = REFERENCE,
                with_objections: bool = False):
     """Codes + features + per-gap models from a master dataset."""
-    rc = fit_label_codes(master, "railway")
-    dc = fit_label_codes(master, "division")
+    codes = fit_label_codes_many(master, ["railway", "division"])
+    rc, dc = codes["railway"], codes["division"]
     feats = build_features(master, "train", rc, dc, scores, with_objections)
     return train_all(feats, rc, dc, scores, preset, with_objections)
 

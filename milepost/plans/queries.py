@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..constants import BASE_FEATURES, GAPS, OBJECTION_FEATURES
 from ..functions import columns as C
-from ..functions.encoding import encode, fit_label_codes
+from ..functions.encoding import encode, fit_label_codes_many
 from ..operators import master as M
 from ..operators import scoring as S
 from ..operators.digitalization import add_digitalization, digitalization_scores
@@ -102,8 +102,8 @@ class Ctx:
     @property
     def codes(self):
         if self._codes is None:
-            self._codes = (fit_label_codes(self.master, "railway"),
-                           fit_label_codes(self.master, "division"))
+            codes = fit_label_codes_many(self.master, ["railway", "division"])
+            self._codes = (codes["railway"], codes["division"])
         return self._codes
 
     @property

@@ -203,3 +203,14 @@ def test_snapshot_response_json(spark):
                                                            "Mutation"]
     assert [s["projects_reached"] for s in doc["stage_snapshot"]] == [1, 0, 0, 0, 0, 0, 0]
     assert doc["stage_snapshot"][0]["percentage"] == 100.0
+
+
+def test_label_codes_of_two_columns_in_one_pass(spark):
+    from milepost.functions.encoding import fit_label_codes_many
+    df = spark.createDataFrame([("NR", "DLI"), ("CR", "ADI"), ("NR", None), ("ECoR", "ADI"),
+                                ("ECR", "Corporate Office"), ("b", "CSTM")], "railway string, division string")
+    got = fit_label_codes_many(df, ["railway", "division"], partitions=4)
+    r = {x["label"]: x["code"] for x in got["railway"].collect()}
+    d = {x["label"]: x["code"] for x in got["division"].collect()}
+    assert r == {"CR": 0, "ECR": 1, "ECoR": 2, "NR": 3, "b": 4}
+    assert d == {"ADI": 0, "CSTM": 1, "Corporate Office": 2, "DLI": 3, "nan": 4}

@@ -164,3 +164,12 @@ def test_learned_forecast_never_goes_back(spark):
                 d = r[STAGE_COLS[k]]
                 assert d >= prev
                 prev = d
+
+
+def test_ridge_param_from_sums_equals_aggregate(spark):
+    from milepost.operators.training import _ridge_param_from_sums, ridge_reg_param
+    ys = [3.0, 7.5, 1.25, 9.0, 4.0, 4.0, 12.5]
+    df = spark.createDataFrame([(y,) for y in ys], "label double")
+    a = ridge_reg_param(df, 10.0)
+    b = _ridge_param_from_sums(len(ys), sum(ys), sum(y * y for y in ys), 10.0)
+    assert b == pytest.approx(a, rel=1e-12)

@@ -94,13 +94,19 @@ class GapPredictor:
             self.model.write().overwrite().save(os.path.join(path, self.gap))
 
 
+# tables saved next to the predictors (S6): durations, label codes, scores, gap statistics
+TABLES = ["durations", "railway_codes", "division_codes", "scores", "gap_stats"]
+
+
 class ModelSet:
     """The six gap predictors plus the tables the forecast needs."""
 
     def __init__(self, predictors: list[GapPredictor], durations: DataFrame | None = None,
                  railway_codes: DataFrame | None = None, division_codes: DataFrame | None = None,
-                 scores: DataFrame | None = None, with_objections: bool = False):
+                 scores: DataFrame | None = None, with_objections: bool = False,
+                 gap_stats: DataFrame | None = None):
         self.predictors = predictors
+        self.gap_stats = gap_stats
         self.durations = durations
         self.railway_codes = railway_codes
         self.division_codes = division_codes
@@ -132,7 +138,7 @@ class ModelSet:
         spark = SparkSession.getActiveSession()
         for p in self.predictors:
             p.save(os.path.join(path, "pipelines"))
-        for name in ["durations", "railway_codes", "division_codes", "scores"]:
+        for name in TABLES:
             df = getattr(self, name)
             if df is not None:
                 df.write.mode("overwrite").parquet(os.path.join(path, name))
@@ -155,7 +161,7 @@ class ModelSet:
                                       max=m["max"], n=m["n"], features=m["features"],
                                       medians=m["medians"], model=model))
         tables = {}
-        for name in ["durations", "railway_codes", "division_codes", "scores"]:
+        for name in TABLES:
             try:
                 tables[name] = spark.read.parquet(os.path.join(path, name))
             except Exception:  # noqa: BLE001 - optional table

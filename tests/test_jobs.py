@@ -64,6 +64,8 @@ def test_train_forecast_snapshot_jobs(spark):
     assert {p.gap: p.kind for p in ms.predictors} == {g: r["model"] for g, r in rep.items()}
     learned = [p for p in ms.predictors if p.model is not None]
     assert all(p.features and p.medians for p in learned)
+    assert {"mean", "std", "min", "max", "n"} <= set(ms.gap_stats.columns)
+    assert ms.gap_stats.count() == 6
     # the reloaded pipelines score a request stream exactly as a batch
     src = tempfile.mkdtemp(prefix="req-src-")
     with open(os.path.join(src, "a.json"), "w") as f:

@@ -258,6 +258,12 @@ def q_active_projects(spark, sf_dir):
     return a.select("project_id", "allocation_project_id", "division", "date_37A")
 
 
+def q_health(spark, sf_dir):
+    """A7 as the service's health call: status and the number of active projects."""
+    from .service import health
+    return health(active_projects(Ctx(spark, sf_dir, store=False).master))
+
+
 def q_current_stage(spark, sf_dir):
     a = with_gaps(with_current_stage(active_projects(Ctx(spark, sf_dir, store=False).master)))
     return a.select("project_id", "current_idx", "current_stage", "current_date", *GAPS)
@@ -406,6 +412,7 @@ def queries() -> dict[str, Query]:
         "stage_durations": q_stage_durations,
         "report_durations": q_report_durations,
         "active_projects": q_active_projects,
+        "health": q_health,
         "current_stage": q_current_stage,
         "clamp_round": q_clamp_round,
         "forecast_mean": q_forecast_mean,

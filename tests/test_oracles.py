@@ -26,8 +26,8 @@ def con():
 def test_every_query_is_registered():
     q = E.queries()
     assert set(ORACLES) <= set(q)
-    # learned models and the fold check are rows-only
-    assert set(q) - set(ORACLES) == {"cv_folds", "gap_model_report", "forecast_learned",
+    # the learned-model queries are rows-only
+    assert set(q) - set(ORACLES) == {"gap_model_report", "forecast_learned",
                                      "snapshot_learned", "score_requests_learned"}
 
 

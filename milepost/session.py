@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,8 @@ JOB_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+_written: dict[str, SparkSession] = {}
+
 
 def build_session(master: str | None = None, app: str = "milepost",
                   shuffle_partitions: int | None = None,
@@ -37,38 +38,51 @@ def build_session(master: str | None = None, app: str = "milepost",
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder shared by driver and executors: ``spark.checkpoint.dir``.
 
-    Only a local-mode session (tests, benchmarks on one machine) may fall back to
-    a scratch folder; on a cluster an unset directory is an error, because a
-    machine-local folder does not survive the loss of an executor.
+    Where it is unset, a folder under the session's warehouse is used, which Spark
+    itself requires to be shared.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if current:
-        return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if conf_dir:
-        sc.setCheckpointDir(conf_dir)
-        return conf_dir
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder before running the job")
-    path = tempfile.mkdtemp(prefix="milepost-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(path)
-    return path
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
+    """Write ``df`` once as parquet under the shared folder and read it back.
 
     The lineage runs exactly once (a reliable RDD checkpoint of an uncached plan
     runs it twice), the written table survives the loss of any executor, and the
     re-read plan carries real file sizes, so the planner's broadcast decisions see
-    the true size of small tables.
+    the true size of small tables. ``drop_tables`` deletes the folders; what is
+    left is deleted when the driver ends.
     """
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    _written[path] = spark
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Delete every table that ``cut_lineage`` wrote in this session; returns their number.
+
+    Call it once the results built on them have been written or collected.
+    """
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [p for p, s in _written.items() if s is spark]
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(hadoop).delete(path, True)
+        del _written[p]
+    return len(paths)
+
+
+@atexit.register
+def _drop_all() -> None:
+    for spark in set(_written.values()):
+        if spark.sparkContext._jsc is not None:
+            drop_tables(spark)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality, sharding, toxicity
+from . import langid, quality, sharding, toxicity
 
 
 def queries() -> dict:
     return {"op1_toxicity": toxicity.op1_toxicity,
+            "op6_bitmask_langid": langid.op6_bitmask_langid,
             "op7_size_shards": sharding.op7_size_shards,
             "op8_risk_rules": quality.op8_risk_rules}
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, quality, sharding, toxicity
+from . import decontam, langid, quality, sharding, toxicity
 
 
 def queries() -> dict:
     return {"op1_toxicity": toxicity.op1_toxicity,
+            "op4_positional_index": decontam.op4_positional_index,
             "op6_bitmask_langid": langid.op6_bitmask_langid,
             "op7_size_shards": sharding.op7_size_shards,
             "op8_risk_rules": quality.op8_risk_rules}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, quality, sharding, toxicity
+from . import bpe, decontam, langid, quality, sharding, toxicity
 
 
 def queries() -> dict:
     return {"op1_toxicity": toxicity.op1_toxicity,
+            "op2_byte_bpe": bpe.op2_byte_bpe,
             "op4_positional_index": decontam.op4_positional_index,
             "op6_bitmask_langid": langid.op6_bitmask_langid,
             "op7_size_shards": sharding.op7_size_shards,

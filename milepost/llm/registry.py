@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, quality, sharding, toxicity
+from . import bpe, decontam, langid, maintext, quality, sharding, toxicity
 
 
 def queries() -> dict:
@@ -11,7 +11,8 @@ def queries() -> dict:
             "op4_positional_index": decontam.op4_positional_index,
             "op6_bitmask_langid": langid.op6_bitmask_langid,
             "op7_size_shards": sharding.op7_size_shards,
-            "op8_risk_rules": quality.op8_risk_rules}
+            "op8_risk_rules": quality.op8_risk_rules,
+            "op9_text_density": maintext.op9_text_density}
 
 
 def oracle_sql() -> dict[str, str]:

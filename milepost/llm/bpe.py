@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from .arrays import pieces
 
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 5 << 20
 ROW_WORDS = 1 << 15     # words of one length folded at a time
 LONG = 256              # bytes; longer words are folded one by one
 NONE = np.int32(2**31 - 1)

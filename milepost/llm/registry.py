@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, maintext, quality, sharding, toxicity
+from . import bpe, decontam, langid, lmscore, maintext, quality, sharding, toxicity
 
 
 def queries() -> dict:
     return {"op1_toxicity": toxicity.op1_toxicity,
             "op2_byte_bpe": bpe.op2_byte_bpe,
             "op4_positional_index": decontam.op4_positional_index,
+            "op5_context_mixing": lmscore.op5_context_mixing,
             "op6_bitmask_langid": langid.op6_bitmask_langid,
             "op7_size_shards": sharding.op7_size_shards,
             "op8_risk_rules": quality.op8_risk_rules,

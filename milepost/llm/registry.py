@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, lmscore, maintext, quality, sharding, toxicity
+from . import bpe, decontam, langid, lmscore, maintext, neardup, quality, sharding, toxicity
 
 
 def queries() -> dict:
@@ -13,7 +13,8 @@ def queries() -> dict:
             "op6_bitmask_langid": langid.op6_bitmask_langid,
             "op7_size_shards": sharding.op7_size_shards,
             "op8_risk_rules": quality.op8_risk_rules,
-            "op9_text_density": maintext.op9_text_density}
+            "op9_text_density": maintext.op9_text_density,
+            "op10_ngram_join": neardup.op10_ngram_join}
 
 
 def oracle_sql() -> dict[str, str]:

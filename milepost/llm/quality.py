@@ -67,7 +67,8 @@ def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     m = m.withColumn("_r", F.expr(
         "sort_array(transform(filter(_s, (x, i) -> x.h <=> get(_s, i - 1).h "
         "or x.h <=> get(_s, i + 1).h), x -> x.i))"))
-    return m.select(*[F.col("_d")[c].alias(c) for c in rest], F.struct(
+    # exploding the one struct keeps filters on measures from being pushed into the lambdas
+    return m.select(*[F.col("_d")[c].alias(c) for c in rest], F.explode(F.array(F.struct(
         F.expr("cast(size(_w) as bigint)").alias("n_words"),
         F.expr(f"cast(char_length(regexp_replace(_t, '{space}+', '')) as bigint)").alias("word_chars"),
         F.expr("cast(regexp_count(_t, '[#*$%&|<>]') as bigint)").alias("n_symbols"),
@@ -75,7 +76,7 @@ def with_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.expr("coalesce(aggregate(_r, struct(0L as n, 0 as upto), (a, s) -> struct("
                "a.n + s + 5 - greatest(s, a.upto) as n, s + 5 as upto), a -> a.n), 0L)")
         .alias("n_repeat_words"),
-        F.expr("cast(size(_l) as bigint)").alias("n_lines")).alias("_m"))
+        F.expr("cast(size(_l) as bigint)").alias("n_lines")))).alias("_m"))
 
 
 def base_failed() -> Column:

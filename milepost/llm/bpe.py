@@ -169,8 +169,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
-def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded binary): the tokens' bytes put together again."""
+def decode(encoded: DataFrame, vocabulary: Vocabulary, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded binary, and ids if kept): the tokens' bytes put together again."""
     ship_package(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -183,12 +183,13 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(x) for x in ids], pa.int64()),
                      pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]),
-                     pa.array([b"".join(map(bytes_of.__getitem__, x)) for x in ids], pa.binary())],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded"])
+                     pa.array([b"".join(map(bytes_of.__getitem__, x)) for x in ids], pa.binary()),
+                     *([part.column(1)] if keep_ids else [])],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded", *(["ids"] if keep_ids else [])])
 
     kind = dict(encoded.dtypes)["doc_id"]
     return encoded.select("doc_id", "ids").mapInArrow(
-        run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded binary")
+        run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded binary" + ", ids array<int>" * keep_ids)
 
 
 def default_vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> Vocabulary:

@@ -289,6 +289,19 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         (covered > 0).alias("contaminated"), "spans", "items")
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that hold no window of ``items``.
+
+    Rows are told apart by a hash of doc_id and text; repeated rows share it and their verdict.
+    """
+    key = F.xxhash64("doc_id", "text")
+    found = contamination(docs.select(key.alias("doc_id"), "text"), items, window)
+    bad = cut_lineage(found.filter("contaminated").select(F.col("doc_id").alias("_k")).distinct())
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    inner = docs.withColumn("_k", key).toDF(*names, "_k")
+    return inner.join(bad, "_k", "left_anti").select(*names).toDF(*docs.columns)
+
+
 def op4_positional_index(spark, sf_dir: str) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"),
                          spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("spans", "items")

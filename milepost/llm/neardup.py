@@ -245,7 +245,8 @@ def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 
     # the full sets of the candidates, each once
     text = docs.select(_row_key().alias("node"), "text")
-    found = (text.join(clusters, "node").select("node", "text", "component", "copies")
+    # (one plan at every size: a broadcast that stops at some size would hide the shuffle)
+    found = (text.join(clusters.hint("merge"), "node").select("node", "text", "component", "copies")
              .mapInArrow(_sets, "rep bigint, cluster bigint, copies bigint, n bigint, grams binary"))
     found = cut_lineage(found.dropDuplicates(["rep"]))
     total = found.groupBy("cluster").agg(F.sum("n").alias("total"))

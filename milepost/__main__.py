@@ -1,6 +1,6 @@
 """Command line: the training program and the two service calls as batch jobs.
 
-python -m milepost train    --sources DIR --master DIR --models DIR [--preset light]
+python -m milepost train    --sources DIR --master DIR --models DIR [--records FILE]
 python -m milepost forecast --master DIR --models DIR --out DIR
 python -m milepost snapshot --forecast DIR --models DIR --dates 31-12-2027 [...] [--out DIR]
 python -m milepost predict  --requests PATH --models DIR --out DIR [--as-of 2025-01-01]
@@ -33,7 +33,7 @@ def main(argv=None) -> int:
     t.add_argument("--sources", required=True)
     t.add_argument("--master", required=True)
     t.add_argument("--models", required=True)
-    t.add_argument("--preset", choices=["reference", "light"], default="reference")
+    t.add_argument("--records", help="live digitalization payload (JSON)")
     t.add_argument("--with-objections", action="store_true")
     f = sub.add_parser("forecast")
     f.add_argument("--master", required=True)
@@ -54,10 +54,11 @@ def main(argv=None) -> int:
     spark = _spark()
     from .plans import jobs
     if a.cmd == "train":
-        from .operators.training import LIGHT, REFERENCE
+        from .operators.digitalization import read_records
         from .sources.tables import read_parquet_tables
         report = jobs.train_job(spark, read_parquet_tables(spark, a.sources), a.master, a.models,
-                                LIGHT if a.preset == "light" else REFERENCE, a.with_objections)
+                                with_objections=a.with_objections,
+                                records=read_records(spark, a.records) if a.records else None)
         for row in report.collect():                               # six rows
             print(json.dumps(row.asDict()))
     elif a.cmd == "forecast":

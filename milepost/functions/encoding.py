@@ -1,4 +1,4 @@
-"""Label codes (F3), safe lookup (F18) and size-checked broadcast of small tables."""
+"""Label codes (F3) and safe lookup."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 NULL_LABEL = "nan"          # a missing category is its own class, as in the source data frames
-BROADCAST_MAX_ROWS = 1_000_000
 
 
 def label_of(c: Column) -> Column:
@@ -47,8 +46,9 @@ def fit_label_codes_many(df: DataFrame, columns: list[str],
         "column", "pid",
         (F.sum("cnt").over(Window.partitionBy("column").orderBy("pid")) - F.col("cnt"))
         .alias("start"))
-    codes = (local.join(F.broadcast(offsets), ["column", "pid"])
-             .select("column", "label", (F.col("start") + F.col("local")).cast("int").alias("code")))
+    # written once: the planner then knows the size of the table and picks the join of a lookup
+    codes = cut_lineage(local.join(F.broadcast(offsets), ["column", "pid"]).select(
+        "column", "label", (F.col("start") + F.col("local")).cast("int").alias("code")))
     return {c: codes.where(F.col("column") == c).select("label", "code") for c in columns}
 
 
@@ -57,20 +57,6 @@ def encode(df: DataFrame, column: str, codes: DataFrame, out: str,
     """replace ``column`` by its code; unseen labels get ``unseen`` (0)."""
     key = f"__{out}_label"
     d = df.withColumn(key, label_of(F.col(column)))
-    c = broadcast_if_small(codes.select(F.col("label").alias(key), F.col("code").alias(out)))
+    c = codes.select(F.col("label").alias(key), F.col("code").alias(out))
     return d.join(c, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit(unseen))) \
         .drop(key)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after the row count is checked against ``max_rows``.
-
-    Meant for dimension-like tables (codes, scores, stage tables): the table is
-    checkpointed once (so its lineage runs once, and the count is a cheap pass
-    over the written rows); above the bound the plain join lets the planner
-    shuffle both sides. A streaming DataFrame is returned unchanged.
-    """
-    if df.isStreaming:
-        return df
-    d = cut_lineage(df)
-    return F.broadcast(d) if d.count() <= max_rows else d

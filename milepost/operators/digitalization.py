@@ -7,13 +7,12 @@ dimension (code, name, fallback score) and optional live records
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from ..constants import DEFAULT_DIGITALIZATION, FALLBACK_DIGITALIZATION, STATE_NAME_TO_CODE
 from ..functions.columns import strip
-from ..functions.encoding import broadcast_if_small
 
 STATE_DIM_SCHEMA = StructType([StructField("state_code", IntegerType()),
                                StructField("state_name", StringType()),
@@ -28,14 +27,23 @@ def default_state_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, STATE_DIM_SCHEMA)
 
 
+# the field that carries the percentage in the live payload (fixed value)
+PERCENT_FIELD = "no__of_villages_where_clr_completed____"
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Live records as JSON lines: ``{"state_ut": ..., "pct_completed": ...}``.
+    """Live records (ord, state_ut, pct_completed) from the published payload.
 
-    The percentage is read as text so that a malformed value can be detected.
+    The file is one JSON object whose ``records`` array holds objects with ``state_ut`` and
+    the percentage field; ``ord`` is the place in the array. The percentage is read as text
+    so that a malformed value can be told from a missing one.
     """
-    schema = StructType([StructField("ord", IntegerType()), StructField("state_ut", StringType()),
-                         StructField("pct_completed", StringType())])
-    return spark.read.schema(schema).json(path)
+    record = StructType([StructField("state_ut", StringType()), StructField(PERCENT_FIELD, StringType())])
+    body = StructType([StructField("records", ArrayType(record))])
+    return (spark.read.schema(body).option("multiLine", True).json(path)
+            .select(F.posexplode("records").alias("ord", "r"))
+            .select("ord", F.col("r.state_ut").alias("state_ut"),
+                    F.col(f"r.{PERCENT_FIELD}").alias("pct_completed")))
 
 
 def digitalization_scores(state_dim: DataFrame, records: DataFrame | None = None) -> DataFrame:
@@ -56,14 +64,13 @@ def digitalization_scores(state_dim: DataFrame, records: DataFrame | None = None
     rec = records.select("ord", strip(F.col("state_ut").cast("string")).alias("name"),
                          F.col("pct_completed").cast("string").alias("pct")) \
         .where(F.col("pct").isNotNull())
-    mapped = rec.join(broadcast_if_small(names), "name") \
+    mapped = rec.join(names, "name") \
         .withColumn("val", F.col("pct").try_cast("double"))
     live = mapped.groupBy("code").agg(
-        F.max_by(F.bround(F.col("val") / 100, 4), F.col("ord")).alias("live"),
+        F.max_by(F.bround(F.col("val") / 100, 4), F.coalesce(F.col("ord"), F.lit(-1))).alias("live"),
         F.max(F.col("val").isNull().cast("int")).alias("bad"))
-    j = dim.join(live, dim.state_code == live.code, "full")
-    # the flag spans the whole (dimension sized) table
-    any_bad = F.coalesce(F.max("bad").over(Window.partitionBy()), F.lit(0))
+    any_bad = F.coalesce(live.agg(F.max("bad").alias("bad")).scalar(), F.lit(0))
+    j = dim.join(live.drop("bad"), dim.state_code == live.code, "full")
     out = j.select(F.coalesce("state_code", "code").alias("state_code"),
                    F.when(any_bad == 1, F.col("fallback_score"))
                    .otherwise(F.coalesce("live", "fallback_score")).alias("score"))
@@ -73,8 +80,8 @@ def digitalization_scores(state_dim: DataFrame, records: DataFrame | None = None
 def add_digitalization(df: DataFrame, scores: DataFrame, state_col: str = "primary_state",
                        default: float = DEFAULT_DIGITALIZATION) -> DataFrame:
     """Score by primary state (default 0.70) and delay = 1 - score."""
-    s = broadcast_if_small(scores.select(F.col("state_code").cast("bigint").alias("__sc"),
-                                         F.col("score").alias("__score")))
+    s = scores.select(F.col("state_code").cast("bigint").alias("__sc"),
+                      F.col("score").alias("__score"))
     out = df.join(s, F.col(state_col).cast("bigint") == F.col("__sc"), "left")
     return (out.withColumn("digitalization_score",
                            F.coalesce(F.col("__score"), F.lit(default)).cast("double"))

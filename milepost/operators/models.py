@@ -94,6 +94,12 @@ class GapPredictor:
             self.model.write().overwrite().save(os.path.join(path, self.gap))
 
 
+def folder_exists(spark, path: str) -> bool:
+    """Whether ``path`` exists on its (Hadoop) file system; a failing file system raises."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 # tables saved next to the predictors (S6): durations, label codes, scores, gap statistics
 TABLES = ["durations", "railway_codes", "division_codes", "scores", "gap_stats"]
 
@@ -162,8 +168,6 @@ class ModelSet:
                                       medians=m["medians"], model=model))
         tables = {}
         for name in TABLES:
-            try:
-                tables[name] = spark.read.parquet(os.path.join(path, name))
-            except Exception:  # noqa: BLE001 - optional table
-                tables[name] = None
+            at = os.path.join(path, name)
+            tables[name] = spark.read.parquet(at) if folder_exists(spark, at) else None
         return cls(preds, with_objections=meta["with_objections"], **tables)

@@ -11,7 +11,6 @@ import datetime as _dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..constants import (DATE_TEXT_FORMAT, GAPS, OBJECTION_FEATURES, REQUEST_DEFAULTS,
                          STAGE_INDEX, STAGES)
@@ -24,8 +23,7 @@ TEXT_FIELDS = ["railway", "division", "current_stage", "current_date", "states",
 FLOAT_FIELDS = ["government_land", "private_land", "forest_area"]
 INT_FIELDS = ["court_case_count", "active_court_cases"]
 REQUEST_FIELDS = TEXT_FIELDS + FLOAT_FIELDS + INT_FIELDS
-# every field is read as text so that a malformed number can be told from a missing one
-BODY_SCHEMA = StructType([StructField(f, StringType()) for f in REQUEST_FIELDS])
+NOT_AN_OBJECT = "request body is not a JSON object"
 
 
 def _as_of(as_of) -> Column:
@@ -41,30 +39,47 @@ def decode_requests(df: DataFrame, id_col: str = "request_id", body_col: str | N
     """One typed request row per input row.
 
     ``body_col`` holds a JSON object; otherwise the request fields are columns
-    (``rename`` maps field -> column). Missing fields take their defaults (JSON
-    null counts as missing); a number that does not parse sets ``error``. A
-    request date that does not parse as ``dd-mm-yyyy`` becomes ``as_of``
-    (today by default).
+    (``rename`` maps field -> column; there a NULL counts as missing). A missing field
+    takes its default. A JSON null is the text ``None`` in a text field and an error in a
+    number field; a text in a number field must spell a number, in a count field a whole
+    one, while a JSON number in a count field is cut to a whole one. A count beyond 64
+    bits and a body that is no JSON object are errors. ``error`` names what is wrong, and
+    such a row carries defaults, so it never fails the job. A request date that does not
+    parse as ``dd-mm-yyyy`` becomes ``as_of`` (today by default).
     """
     rename = rename or {}
     if body_col:
-        raw = df.select(F.col(id_col), F.from_json(F.col(body_col), BODY_SCHEMA).alias("b")) \
-            .select(id_col, *[F.col("b")[f].alias(f"raw_{f}") for f in REQUEST_FIELDS])
+        v = F.try_parse_json(F.col(body_col))
+        raw = df.select(F.col(id_col), v.alias("v")).select(
+            id_col, F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)).alias("whole"),
+            *[F.try_variant_get("v", f"$.{f}", "string").alias(f"raw_{f}") for f in REQUEST_FIELDS],
+            *[F.schema_of_variant(F.try_variant_get("v", f"$.{f}", "variant")).alias(f"kind_{f}")
+              for f in REQUEST_FIELDS])
     else:
-        cols = set(df.columns)
-        raw = df.select(F.col(id_col), *[
-            (F.col(rename.get(f, f)).cast("string") if rename.get(f, f) in cols
-             else F.lit(None).cast("string")).alias(f"raw_{f}") for f in REQUEST_FIELDS])
+        kinds = dict(df.dtypes)
+        raw = df.select(F.col(id_col), F.lit(True).alias("whole"), *[
+            (F.col(rename.get(f, f)).cast("string") if rename.get(f, f) in kinds
+             else F.lit(None).cast("string")).alias(f"raw_{f}") for f in REQUEST_FIELDS], *[
+            F.when(F.col(rename.get(f, f)).isNotNull(),
+                   "STRING" if kinds[rename.get(f, f)] == "string" else "NUMBER").alias(f"kind_{f}")
+            if rename.get(f, f) in kinds else F.lit(None).cast("string").alias(f"kind_{f}")
+            for f in REQUEST_FIELDS])
     out = [F.col(id_col)]
-    errors = []
+    errors = [F.when(~F.col("whole"), F.lit(NOT_AN_OBJECT))]
     for f in TEXT_FIELDS:
-        out.append(F.coalesce(F.col(f"raw_{f}"), F.lit(REQUEST_DEFAULTS[f])).alias(f))
+        out.append(F.when(F.col(f"kind_{f}") == "VOID", F.lit("None")).otherwise(
+            F.coalesce(F.col(f"raw_{f}"), F.lit(REQUEST_DEFAULTS[f]))).alias(f))
     for f in FLOAT_FIELDS + INT_FIELDS:
-        r = F.col(f"raw_{f}")
-        num = r.try_cast("double")
-        errors.append(F.when(r.isNotNull() & num.isNull(), F.lit(f"bad number in {f}")))
-        val = F.coalesce(num, F.lit(float(REQUEST_DEFAULTS[f])))
-        out.append((val.cast("bigint") if f in INT_FIELDS else val).alias(f))
+        r, kind = F.trim(F.col(f"raw_{f}")), F.col(f"kind_{f}")
+        if f in INT_FIELDS:
+            # a text must spell a whole number, a number is cut
+            num = F.when(kind == "STRING", F.when(r.rlike("^[+-]?[0-9]+$"), r.try_cast("bigint"))) \
+                .otherwise(r.try_cast("double").try_cast("bigint"))
+            default = F.lit(int(REQUEST_DEFAULTS[f])).cast("bigint")
+        else:
+            num, default = r.try_cast("double"), F.lit(float(REQUEST_DEFAULTS[f]))
+        errors.append(F.when(kind.isNotNull() & num.isNull(), F.lit(f"bad number in {f}")))
+        out.append(F.coalesce(num, default).alias(f))
     out.append(F.concat_ws("; ", *errors).alias("__err"))
     d = raw.select(*out)
     stage_idx = F.coalesce(F.try_element_at(F.create_map(*[x for s, i in STAGE_INDEX.items()

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import GAPS, STAGES
+from ..functions.quantiles import grouped_medians
 
 
 def _long_gaps(df: DataFrame) -> DataFrame:
@@ -40,15 +41,9 @@ def prior_medians(df: DataFrame) -> DataFrame:
 
     One aggregate over all (target, prior) pairs: rows (gap k known) x (prior j < k).
     """
-    pairs = []
-    for k, g in enumerate(GAPS):
-        for j in range(k):
-            pairs.append(F.struct(F.lit(g).alias("gap"), F.lit(GAPS[j]).alias("prior"),
-                                  F.when(F.col(g).isNotNull(), F.col(GAPS[j]))
-                                  .cast("double").alias("value")))
-    long = (df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
-            .where(F.col("value").isNotNull()))
-    return long.groupBy("gap", "prior").agg(F.median("value").alias("median"))
+    groups = {g: (F.col(g).isNotNull(), GAPS[:k]) for k, g in enumerate(GAPS) if k}
+    return grouped_medians(df, groups).select(
+        F.col("group").alias("gap"), F.col("column").alias("prior"), "median")
 
 
 def stage_durations(df: DataFrame) -> DataFrame:

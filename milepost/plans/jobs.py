@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,7 +55,8 @@ def write_report(spark, master: DataFrame, models: ModelSet, report: DataFrame,
             for r in report.collect()}                      # six rows
     dur = {r["stage"]: {k: v for k, v in r.asDict().items() if k not in ("stage", "stage_idx")}
            for r in durations_report(models.durations).collect()}  # six rows
-    doc = {"dataset_rows": master.count(),
+    doc = {"trained_on": datetime.now().strftime("%d-%m-%Y %H:%M:%S"),
+           "dataset_rows": master.count(),
            "features": feature_names(models.with_objections),
            "objections_included": models.with_objections,
            "gap_models": gaps, "stage_durations": dur}

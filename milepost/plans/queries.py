@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as _dt
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import BASE_FEATURES, GAPS, OBJECTION_FEATURES
+from ..constants import (BASE_FEATURES, CV_MAX_FOLDS, CV_ROWS_PER_FOLD, GAPS,
+                         OBJECTION_FEATURES)
 from ..functions import columns as C
 from ..functions.encoding import encode, fit_label_codes_many
 from ..operators import master as M
@@ -16,14 +18,16 @@ from ..operators import scoring as S
 from ..operators.digitalization import add_digitalization, digitalization_scores
 from ..operators.features import build_features, with_dates, with_gaps
 from ..operators.forecast import active_projects, forecast, with_current_stage
-from ..operators.models import ModelSet
+from ..operators.models import ModelSet, folder_exists
 from ..operators.snapshot import snapshot, snapshot_response
 from ..operators.stats import gap_stats, prior_medians, stage_durations, summary_stats
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_dir
 from ..sources.fixtures import Fixtures
 
 # request dates that do not parse fall back to this day (the service uses "today")
 AS_OF = _dt.date(2025, 1, 1)
+# target date of the single snapshot query
+SNAPSHOT_DATE = _dt.date(2025, 12, 31)
 DURATION_SCHEMA = ("stage_idx int, stage string, lognorm_mu double, lognorm_sigma double, "
                    "min double, max double, p25 double, p50 double, p75 double, mean double, "
                    "std double, n bigint")
@@ -109,8 +113,8 @@ class Ctx:
     @property
     def scores(self):
         if self._scores is None:
-            self._scores = digitalization_scores(self.fx["state_dim"],
-                                                 self.fx["digitalization_records"])
+            self._scores = cut_lineage(digitalization_scores(
+                self.fx["state_dim"], self.fx["digitalization_records"]))
         return self._scores
 
     def features(self, df, mode, with_objections=False):
@@ -287,18 +291,16 @@ def q_forecast_mean(spark, sf_dir):
     return forecast(c.master, c.mean_models())
 
 
-def _targets(c, latest_only=False):
-    t = c.fx["target_dates"]
-    if latest_only:
-        # one target date: the snapshot of a single request
-        t = t.orderBy(F.col("target_date").desc()).limit(1)
-    return t
+def _targets(c):
+    return c.fx["target_dates"]
 
 
-def q_snapshot_mean(spark, sf_dir):
+def q_snapshot_mean(spark, sf_dir, target: _dt.date = SNAPSHOT_DATE):
+    """The snapshot of a single request: its date is the parameter."""
     c = Ctx(spark, sf_dir)
     mm = c.mean_models()
-    return snapshot(forecast(c.master, mm), _targets(c, True), mm.durations)
+    one = spark.createDataFrame([(target,)], "target_date date")
+    return snapshot(forecast(c.master, mm), one, mm.durations)
 
 
 def q_snapshot_many_dates(spark, sf_dir):
@@ -320,49 +322,59 @@ def q_score_requests_mean(spark, sf_dir):
 def q_request_envelope(spark, sf_dir):
     c = Ctx(spark, sf_dir, store=False)
     r = c.fx["requests"]
-    body = F.to_json(F.struct(*[F.col(x) for x in r.columns if x != "request_id"]))
-    body = F.regexp_replace(body, '"current_date_text"', '"current_date"')
+    body = F.to_json(F.struct(*[F.col(x).alias(x.removesuffix("_text")) for x in r.columns
+                                if x != "request_id"]))
     req = S.decode_requests(r.select("request_id", body.alias("body")), body_col="body",
                             as_of=AS_OF)
     return S.envelope(S.score_requests(req, c.mean_models()))
 
 
-# -- learned models (rows-only checks) ---------------------------------------
+def q_request_decoding(spark, sf_dir):
+    """S9 / F16 / P14 on bodies with every kind of fault."""
+    req = S.decode_requests(_fx(spark, sf_dir)["request_bodies"], body_col="body", as_of=AS_OF)
+    return req.select("request_id", "error", "railway", "division", "states", "government_land",
+                      "forest_area", "court_case_count", "active_court_cases")
 
-_TRAINED: dict = {}
 
+# -- learned models (rows-only checks) ---------------------------------------
 
 def learned_models(c: Ctx):
-    """Train once per session, test-data folder and preset.
-
-    The preset is ``MILEPOST_PRESET`` (``light`` by default: 10 boosting rounds,
-    20 forest trees; ``reference`` keeps the original 200 / 200)."""
-    import os
-    from ..operators.training import LIGHT, REFERENCE, train_all
-    name = os.environ.get("MILEPOST_PRESET", "light").lower()
-    preset = REFERENCE if name == "reference" else LIGHT
-    key = (c.spark.sparkContext.applicationId, c.fx.sf_dir, name)
-    if key not in _TRAINED:
+    """The trained models and their report, loaded from the stored artifacts.
+
+    They are trained at full size and stored (S6) under the shared folder the first time
+    an application asks for the models of a source folder.
+    """
+    from ..operators.training import train_all
+    spark = c.spark
+    name = hashlib.sha256(c.fx.sf_dir.encode()).hexdigest()[:16]
+    path = f"{shared_dir(spark)}/models/{spark.sparkContext.applicationId}/{name}"
+    if not folder_exists(spark, f"{path}/report/_SUCCESS"):
         rc, dc = c.codes
         feats = build_features(c.master, "train", rc, dc, c.scores, False)
-        _TRAINED[key] = train_all(feats, rc, dc, c.scores, preset)
-    return _TRAINED[key]
+        models, report = train_all(feats, rc, dc, c.scores)
+        models.save(path)
+        report.write.mode("overwrite").parquet(f"{path}/report")  # last: it marks the set whole
+    return ModelSet.load(spark, path), spark.read.parquet(f"{path}/report")
 
 
 def q_cv_folds(spark, sf_dir):
-    from ..operators.training import n_folds, with_folds
-    rows = Ctx(spark, sf_dir).rows
-    counts = {r["gap"]: int(r["n"]) for r in gap_stats(rows).collect()}   # six rows
-    parts = []
-    for k, g in enumerate(GAPS):
-        d = rows.where(F.col(g).isNotNull()).select("project_id")
-        kf = max(n_folds(counts[g]), 1)
-        parts.append(with_folds(d, kf).groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"))
-                     .select(F.lit(g).alias("gap"), F.lit(kf).alias("k"), "fold", "n_rows"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Fold sizes of all gaps from one scan."""
+    from ..operators.training import fold_of
+    c = Ctx(spark, sf_dir)
+    long = (c.rows.select("project_id", *GAPS).unpivot("project_id", GAPS, "gap", "v")
+            .where(F.col("v").isNotNull()))
+    n = long.groupBy("gap").agg(F.count(F.lit(1)).alias("n"))
+    k = n.select("gap", F.greatest(F.least(F.lit(CV_MAX_FOLDS), F.floor(F.col("n") / CV_ROWS_PER_FOLD)),
+                                   F.lit(1)).cast("int").alias("k"))
+    return (long.join(F.broadcast(k), "gap")  # six rows
+            .groupBy("gap", "k", fold_of(F.col("k")).alias("fold"))
+            .agg(F.count(F.lit(1)).alias("n_rows")))
+
+
+def q_training_set_medians(spark, sf_dir):
+    from ..operators.training import training_set_medians
+    c = Ctx(spark, sf_dir)
+    return _round(training_set_medians(c.features(c.master, "train")), ["median"])
 
 
 def q_gap_model_report(spark, sf_dir):
@@ -409,6 +421,7 @@ def queries() -> dict[str, Query]:
         "training_features_obj": q_training_features_obj,
         "gap_stats": q_gap_stats,
         "prior_medians": q_prior_medians,
+        "training_set_medians": q_training_set_medians,
         "stage_durations": q_stage_durations,
         "report_durations": q_report_durations,
         "active_projects": q_active_projects,
@@ -421,6 +434,7 @@ def queries() -> dict[str, Query]:
         "snapshot_envelope": q_snapshot_envelope,
         "score_requests_mean": q_score_requests_mean,
         "request_envelope": q_request_envelope,
+        "request_decoding": q_request_decoding,
         "cv_folds": q_cv_folds,
         "gap_model_report": q_gap_model_report,
         "forecast_learned": q_forecast_learned,

@@ -15,17 +15,11 @@ from pyspark.sql import functions as F
 from ..constants import DATE_TEXT_FORMAT
 from ..operators.models import ModelSet
 from ..operators.scoring import decode_requests, envelope, score_requests
-from ..operators.snapshot import (snapshot, snapshot_from_counts, snapshot_response,
-                                  stage_day_counts)
+from ..operators.snapshot import snapshot, snapshot_from_counts, snapshot_response
 
 BAD_DATE = "Invalid date. Use DD-MM-YYYY"
 
 
-def stage_counts(forecast: DataFrame) -> DataFrame:
-    """The calendar-sized table every snapshot needs; store it next to the forecast."""
-    return stage_day_counts(forecast)
-
-
 def health(forecast: DataFrame) -> DataFrame:
     """Status row with the active-project count (rows of the stored forecast)."""
     return forecast.agg(F.count(F.lit(1)).alias("active_projects")) \

@@ -10,11 +10,17 @@ parquet scans.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                  "events"]
 
+_REF = re.compile(r"\{(\w+)\}")
+
+_JSON_BRACE = re.compile(r'\{(["}])')
+
 # Views in dependency order; each maps to (sql text, referenced tables).
 VIEWS: dict[str, str] = {
     "fx_ms": """
@@ -22,12 +28,12 @@ SELECT l_orderkey AS project_id, l_linenumber AS k, l_partkey AS survey_id,
  CAST(o_orderdate AS DATE) + CAST((l_linenumber-1)*60 + l_quantity AS INT) AS d
  FROM {lineitem} JOIN {orders} ON l_orderkey=o_orderkey""",
     "AllocationWise": """
-WITH b AS (SELECT concat('U',c_custkey) AS uwid, c_custkey AS PROJECTID, c_name AS ShortNameofWork,
+WITH b AS (SELECT concat('U',c_custkey) AS uwid, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_custkey END AS PROJECTID, c_name AS ShortNameofWork,
  n_name AS railway, c_mktsegment AS division, concat('A',c_nationkey % 4) AS exec_agency_rly,
  CASE WHEN c_custkey % 19 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN concat(c_nationkey+1,', ',c_nationkey % 7 + 1) ELSE concat(c_nationkey+1,'') END AS states,
  CASE WHEN c_custkey % 23 = 0 THEN 'x,12' ELSE concat(c_custkey % 600 + 1,',',c_custkey % 9 + 1) END AS districts,
  CASE WHEN c_acctbal < 0 THEN 'Pending' ELSE 'Started' END AS land_acq_status
- FROM {customer} JOIN {nation} ON c_nationkey=n_nationkey WHERE c_custkey % 17 <> 0)
+ FROM {customer} JOIN {nation} ON c_nationkey=n_nationkey)
  SELECT * FROM b UNION ALL SELECT * FROM b WHERE PROJECTID % 5 = 0
  UNION ALL SELECT uwid,PROJECTID,ShortNameofWork,railway,'OTHER',exec_agency_rly,states,districts,land_acq_status FROM b WHERE PROJECTID % 10 = 1""",
     "project_basic": """
@@ -54,10 +60,10 @@ SELECT event_id AS case_id, CAST(floor(event_id/2) AS BIGINT) AS project_id,
  CASE WHEN event_type='error' THEN 'Active' WHEN event_type='view' THEN NULL ELSE 'Closed' END AS status,
  CAST(ts AS DATE) AS from_date, CASE WHEN event_type='purchase' THEN NULL ELSE CAST(ts AS DATE) + CAST(floor(value) AS INT) END AS to_date FROM {events}""",
     "court_case_details": """
-SELECT l_orderkey AS case_id, l_partkey AS survey_id, CASE WHEN l_returnflag='N' THEN NULL ELSE l_quantity END AS area FROM {lineitem} WHERE l_linenumber<=3""",
+SELECT l_orderkey AS case_id, l_partkey AS survey_id, CASE WHEN l_returnflag='N' THEN NULL ELSE l_quantity END AS area FROM {lineitem}""",
     "three_A_objections": """
 SELECT l_orderkey*10+l_linenumber AS objection_id, l_orderkey AS project_id,
- CASE WHEN l_linestatus='O' THEN 'Active' ELSE 'Closed' END AS status, CAST(l_shipdate AS DATE) AS objection_date, l_partkey AS survey_id, l_suppkey AS party_id FROM {lineitem} WHERE l_returnflag='R'""",
+ CASE WHEN l_linestatus='O' THEN 'Active' ELSE 'Closed' END AS status, CAST(l_shipdate AS DATE) AS objection_date, l_partkey AS survey_id, l_suppkey AS party_id FROM {lineitem}""",
     "project_dates_text": """
 SELECT project_id, CASE WHEN project_id % 31 = 0 THEN 'n/a' WHEN project_id % 37 = 0 THEN '31-02-2025'
  ELSE concat(day(d),'-',month(d),'-',year(d)) END AS date_37A FROM {fx_ms} WHERE k=1""",
@@ -71,14 +77,23 @@ SELECT o_orderkey AS request_id,
  CAST(o_orderkey % 100 AS DOUBLE) AS government_land, CAST(o_orderkey % 3 * 30 AS DOUBLE) AS private_land, CAST(o_orderkey % 5 AS DOUBLE) AS forest_area,
  CAST(o_orderkey % 4 AS INT) AS court_case_count, CAST(o_orderkey % 2 AS INT) AS active_court_cases
  FROM {orders} JOIN {customer} ON o_custkey=c_custkey JOIN {nation} ON c_nationkey=n_nationkey""",
+    "request_bodies": """
+SELECT o_orderkey AS request_id, CASE o_orderkey % 13
+ WHEN 0 THEN 'not json' WHEN 1 THEN '[1,2]' WHEN 2 THEN NULL
+ WHEN 3 THEN '{"court_case_count": 1e30}' WHEN 4 THEN '{"court_case_count": "2.9"}'
+ WHEN 5 THEN '{"court_case_count": 2.9, "railway": null}' WHEN 6 THEN '{"forest_area": null}'
+ WHEN 7 THEN '{"active_court_cases": "NaN", "government_land": "x"}' WHEN 8 THEN '{}'
+ WHEN 9 THEN '{"government_land": " 12.5 ", "court_case_count": "7"}'
+ WHEN 10 THEN '{"states": null, "division": 5}' WHEN 11 THEN '"text"'
+ ELSE concat('{"railway": "R', o_custkey, '", "court_case_count": ', o_custkey, '}') END AS body FROM {orders}""",
     "target_dates": """
 SELECT DISTINCT CAST(concat(year(o_orderdate),'-12-31') AS DATE) AS target_date FROM {orders}""",
     "digitalization_records": """
 SELECT n_nationkey AS ord, concat(' ',n_name,' ') AS state_ut,
  CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE concat(CAST(floor(n_nationkey * 37 % 1000 / 10) AS INT), '.', n_nationkey * 37 % 10) END AS pct_completed FROM {nation}""",
     "state_dim": """
-SELECT n_nationkey + 1 AS state_code, n_name AS state_name,
- CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE CAST(n_nationkey AS DOUBLE) / 25 END AS fallback_score FROM {nation} WHERE n_nationkey % 8 <> 3""",
+SELECT n_nationkey + 1 AS state_code, CASE WHEN n_nationkey % 8 = 3 THEN NULL ELSE n_name END AS state_name,
+ CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE CAST(n_nationkey AS DOUBLE) / 25 END AS fallback_score FROM {nation}""",
 }
 
 # The eleven source tables of the master dataset.
@@ -88,8 +103,7 @@ SOURCE_TABLES = ["AllocationWise", "project_basic", "notification_37A", "la_noti
 
 
 def _refs(text: str) -> list[str]:
-    import re
-    return sorted(set(re.findall(r"\{(\w+)\}", text)))
+    return sorted(set(_REF.findall(text)))
 
 
 def dependencies(names) -> list[str]:
@@ -111,7 +125,7 @@ def with_clause(names) -> str:
     """DuckDB/ANSI ``WITH`` prefix defining the views ``names`` need."""
     parts = []
     for v in dependencies(names):
-        body = VIEWS[v].strip().format(**{r: r for r in _refs(VIEWS[v])})
+        body = _REF.sub(r"\1", VIEWS[v].strip())
         parts.append(f"{v} AS ({body})")
     return "WITH " + ",\n".join(parts) + "\n"
 
@@ -129,6 +143,8 @@ class Fixtures:
             if name in VIEWS:
                 text = VIEWS[name]
                 args = {r: self.table(r) for r in _refs(text)}
+                if "{}" in text or '{"' in text:  # braces of JSON text are no references
+                    text = _JSON_BRACE.sub(r"{{\1", text).replace("}'", "}}'")
                 self._cache[name] = self.spark.sql(text, **args)
             else:
                 self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

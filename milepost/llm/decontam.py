@@ -262,6 +262,8 @@ def near_matches(index: DataFrame, phrases: DataFrame, width: int, kind: str = "
                     for item, packed in shared.value:
                         at = seg.near(np.frombuffer(packed, "<u8"), width)
                         doc = seg.document(at)
+                        if not len(at):
+                            continue
                         yield pa.RecordBatch.from_pydict(
                             {"item_id": [item] * len(at), "doc_id": ids.take(pa.array(doc)),
                              "start": pa.array(at - seg.first[doc])})

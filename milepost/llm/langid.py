@@ -54,17 +54,17 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     low = np.full(len(raw) + GRAM * (len(lens) + 1), 0x20, dtype=np.uint8)
     at = np.arange(len(raw), dtype=np.int64) + GRAM * (doc.astype(np.int64) + 1)
     low[at] = _BLANKED[raw]
-    owner = np.zeros(len(low), dtype=np.int32)
-    if len(lens):
-        owner = np.repeat(np.arange(len(lens), dtype=np.int32), lens + GRAM)
-        owner = np.concatenate([owner, np.full(GRAM, len(lens) - 1, np.int32)])
+    owner = np.repeat(np.arange(len(lens), dtype=np.int32), lens + GRAM)
     n = len(low) - GRAM + 1
     g = np.zeros(n, dtype=np.uint32)
     for k in range(GRAM):
         g |= low[k:k + n].astype(np.uint32) << np.uint32(8 * k)
     keep = np.flatnonzero(g != 0x20202020)
-    # a window belongs to the text of its last byte: the blanks stand before each text
-    return owner[keep + GRAM - 1] if len(lens) else owner[:0], g[keep]
+    # a window belongs to the text of its first byte that is no blank
+    first = keep.copy()
+    for _ in range(GRAM - 1):
+        first += low[first] == 0x20
+    return owner[first], g[keep]
 
 
 def slots(g: np.ndarray) -> list[np.ndarray]:

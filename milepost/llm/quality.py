@@ -177,12 +177,12 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     measured = cut_lineage(with_measures(docs.select("doc_id", "text", "lang"))
                            .select("doc_id", _stratum().alias("stratum"), "_m.*"))
     cutoffs = cut_lineage(calibrate(measured, labels)).withColumnRenamed("stratum", "_stratum")
-    names = docs.columns
-    out = (with_measures(docs).withColumn("_stratum", _stratum())
-           .join(cutoffs, "_stratum", "left")
-           .select(*[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(names)], "_m.*", "cutoffs")
-           .filter(_passes()))
-    return out.select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(names)])
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text, lang = (names[docs.columns.index(c)] for c in ("text", "lang"))
+    return (with_measures(docs.toDF(*names), text)
+            .withColumn("_stratum", F.coalesce(F.col(lang), F.lit("und")))
+            .join(cutoffs, "_stratum", "left").select(*names, "_m.*", "cutoffs")
+            .filter(_passes()).select(*names).toDF(*docs.columns))
 
 
 def op8_risk_rules(spark, sf_dir: str) -> DataFrame:

@@ -22,11 +22,11 @@ from ..operators.forecast import forecast
 from ..operators.master import master_dataset
 from ..operators.models import ModelSet
 from ..operators.snapshot import snapshot_from_counts, stage_day_counts
-from ..operators.training import REFERENCE, Preset, durations_report, train_all
+from ..operators.training import Preset, durations_report, train_all
 from ..sources.tables import read_snapshot, write_snapshot
 
 
-def fit_models(master: DataFrame, scores: DataFrame, preset: Preset = REFERENCE,
+def fit_models(master: DataFrame, scores: DataFrame, preset: Preset | None = None,
                with_objections: bool = False):
     """Codes + features + per-gap models from a master dataset."""
     codes = fit_label_codes_many(master, ["railway", "division"])
@@ -36,7 +36,7 @@ def fit_models(master: DataFrame, scores: DataFrame, preset: Preset = REFERENCE,
 
 
 def train_job(spark: SparkSession, sources: dict[str, DataFrame], snapshot_root: str,
-              model_dir: str, preset: Preset = REFERENCE, with_objections: bool = False,
+              model_dir: str, preset: Preset | None = None, with_objections: bool = False,
               state_dim: DataFrame | None = None, records: DataFrame | None = None) -> DataFrame:
     """Build, snapshot and train; returns the report DataFrame."""
     path = write_snapshot(master_dataset(sources), snapshot_root)

@@ -27,7 +27,7 @@ from ..sources.fixtures import Fixtures
 # request dates that do not parse fall back to this day (the service uses "today")
 AS_OF = _dt.date(2025, 1, 1)
 # target date of the single snapshot query
-SNAPSHOT_DATE = _dt.date(2025, 12, 31)
+SNAPSHOT_DATE = _dt.date(1997, 6, 30)
 DURATION_SCHEMA = ("stage_idx int, stage string, lognorm_mu double, lognorm_sigma double, "
                    "min double, max double, p25 double, p50 double, p75 double, mean double, "
                    "std double, n bigint")

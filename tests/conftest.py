@@ -15,3 +15,14 @@ def spark():
     s = build_session("local[4]", app="milepost-tests", shuffle_partitions=4)
     yield s
     s.stop()
+
+
+@pytest.fixture(scope="session", autouse=True)
+def small_training():
+    """Tests of the training machinery use fewer rounds and trees than the queries do."""
+    from milepost.constants import GBT_PARAMS, RF_PARAMS
+    from milepost.operators import training
+    full = training.REFERENCE
+    training.REFERENCE = training.Preset(gbt=dict(GBT_PARAMS, maxIter=10), rf=dict(RF_PARAMS, numTrees=20))
+    yield training.REFERENCE
+    training.REFERENCE = full

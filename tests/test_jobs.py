@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 
-from milepost.operators.digitalization import digitalization_scores, read_records
+from milepost.operators.digitalization import (PERCENT_FIELD, digitalization_scores,
+                                               read_records)
 from milepost.operators.models import ModelSet
 from milepost.operators.scoring import decode_requests, envelope, score_requests
-from milepost.operators.training import LIGHT
 from milepost.plans import jobs
 from milepost.plans.queries import Ctx
 from milepost.sources.fixtures import Fixtures
@@ -30,24 +30,33 @@ def test_snapshot_store_round_trip(spark):
 
 
 def test_records_reader(spark):
-    d = tempfile.mkdtemp(prefix="rec-")
-    with open(os.path.join(d, "r.json"), "w") as f:
-        f.write(json.dumps({"ord": 0, "state_ut": " Punjab ", "pct_completed": "50.0"}) + "\n")
-        f.write(json.dumps({"ord": 1, "state_ut": "Goa", "pct_completed": 12.5}) + "\n")
+    path = os.path.join(tempfile.mkdtemp(prefix="rec-"), "payload.json")
+    records = [{"state_ut": " Punjab ", PERCENT_FIELD: "99.0"}, {"state_ut": "Goa", PERCENT_FIELD: 12.5},
+               {"state_ut": "Punjab", PERCENT_FIELD: "50.0"}, {"state_ut": "Nowhere", PERCENT_FIELD: "x"},
+               {"state_ut": "Kerala", PERCENT_FIELD: None}]
     from milepost.operators.digitalization import default_state_dim
-    got = {r["state_code"]: r["score"] for r in
-           digitalization_scores(default_state_dim(spark), read_records(spark, d)).collect()}
+
+    def scores(rows):
+        with open(path, "w") as f:
+            json.dump({"total": len(rows), "records": rows}, f, indent=1)
+        return {r["state_code"]: r["score"] for r in digitalization_scores(
+            default_state_dim(spark), read_records(spark, path)).collect()}
+
+    got = scores(records)  # the last record of a state in the array counts
     assert got[3] == 0.5 and got[30] == 0.125 and got[1] == 0.7054 and got[12] == 0.0
+    bad = scores([*records, {"state_ut": "Goa", PERCENT_FIELD: "n/a"}])
+    assert bad[3] == 0.9962 and bad[30] == 1.0  # a malformed percentage drops all live scores
 
 
 def test_train_forecast_snapshot_jobs(spark):
     work = tempfile.mkdtemp(prefix="jobs-")
     fx = Fixtures(spark, SF_SMALL)
-    report = jobs.train_job(spark, fx.sources(), f"{work}/master", f"{work}/models", LIGHT,
+    report = jobs.train_job(spark, fx.sources(), f"{work}/master", f"{work}/models",
                             state_dim=fx["state_dim"], records=fx["digitalization_records"])
     rep = {r["gap"]: r for r in report.collect()}
     assert len(rep) == 6 and all(r["n"] > 0 for r in rep.values())
     doc = json.loads(spark.read.text(f"{work}/models/report").first()[0])
+    assert len(doc["trained_on"]) == len("31-12-2025 00:00:00")
     assert doc["dataset_rows"] == spark.read.parquet(f"{work}/master/latest").count()
     assert set(doc["stage_durations"]) == {"7A", "20A", "20E", "20F", "20H", "Mutation"}
     targets = fx["target_dates"]
@@ -107,7 +116,7 @@ def test_stream_scoring_equals_batch(spark):
 
 def test_objection_models_score_requests(spark):
     c = Ctx(spark, SF_SMALL)
-    models, report = jobs.fit_models(c.master, c.scores, LIGHT, with_objections=True)
+    models, report = jobs.fit_models(c.master, c.scores, with_objections=True)
     learned = [p for p in models.predictors if p.model is not None]
     assert learned and all("objection_count" in p.features for p in learned)
     scored = score_requests(c.requests(), models)
@@ -147,8 +156,10 @@ def test_command_line(spark, capsys):
     fx = Fixtures(spark, SF_SMALL)
     for n in SOURCE_TABLES:
         fx[n].write.parquet(f"{work}/sources/{n}")
+    with open(f"{work}/records.json", "w") as f:
+        json.dump({"records": [{"state_ut": "Goa", PERCENT_FIELD: "12.5"}]}, f)
     assert main(["train", "--sources", f"{work}/sources", "--master", f"{work}/master",
-                 "--models", f"{work}/models", "--preset", "light"]) == 0
+                 "--models", f"{work}/models", "--records", f"{work}/records.json"]) == 0
     assert main(["forecast", "--master", f"{work}/master", "--models", f"{work}/models",
                  "--out", f"{work}/fc"]) == 0
     capsys.readouterr()

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from milepost.constants import GAPS, STAGE_COLS
 from milepost.operators.snapshot import snapshot
-from milepost.operators.training import (LIGHT, _fit, n_folds, train_gap, with_folds)
+from milepost.operators.training import _fit, n_folds, train_gap, with_folds
 
 
-def test_ridge_matches_closed_form(spark):
+def test_ridge_matches_closed_form(spark, small_training):
     rng = np.random.default_rng(7)
     n, p, alpha = 300, 4, 10.0
     X = rng.normal(size=(n, p)) * [1.0, 3.0, 0.5, 10.0] + [0, 5, -2, 1]
@@ -20,7 +20,7 @@ def test_ridge_matches_closed_form(spark):
     rows = [tuple(float(v) for v in X[i]) + (float(y[i]),) for i in range(n)]
     feats = [f"x{j}" for j in range(p)]
     df = spark.createDataFrame(rows, ", ".join(f"__f_{f} double" for f in feats) + ", label double")
-    model = _fit("Ridge", feats, LIGHT, df)
+    model = _fit("Ridge", feats, small_training, df)
     got = np.array([r["__prediction"] for r in model.transform(df).select("__prediction").collect()])
     # closed form on population-standardised features, unpenalised intercept
     mu, sd = X.mean(axis=0), X.std(axis=0)
@@ -69,7 +69,7 @@ def test_folds_cover_rows(spark):
 def test_too_few_rows_keep_mean(spark):
     rows = spark.createDataFrame([(i, float(i)) for i in range(10)], f"project_id long, {GAPS[0]} double")
     stats = {"n": 10, "mean": 4.5, "min": 0.0, "max": 9.0}
-    pred, rep = train_gap(rows, 0, stats, LIGHT)
+    pred, rep = train_gap(rows, 0, stats)
     assert rep == {"gap": GAPS[0], "model": "mean_fallback", "n": 10}
     assert pred.model is None and pred.mean_or_default == 4.5
 
@@ -94,26 +94,59 @@ def test_small_training_selects_a_model(spark):
                                                for c in cols))
     stats = df.agg(F.count(GAPS[0]).alias("n"), F.avg(GAPS[0]).alias("mean"),
                    F.min(GAPS[0]).alias("min"), F.max(GAPS[0]).alias("max")).first()
-    pred, rep = train_gap(df, 0, stats, LIGHT)
+    pred, rep = train_gap(df, 0, stats)
     assert rep["model"] in ("GradientBoosting", "RandomForest", "Ridge")
     assert rep["cv_r2"] > 0.5 and rep["n"] == n
     out = pred.predict(df, {}, "p").select("p").collect()
     assert all(stats["min"] <= r["p"] <= stats["max"] for r in out)
 
 
-def test_bracketed_medians_equal_exact(spark):
-    from milepost.functions.quantiles import exact_medians
+def test_medians_equal_exact(spark):
+    from milepost.functions.quantiles import exact_medians, grouped_medians
     rng = random.Random(5)
     rows = [(rng.gauss(0, 1), float(rng.randint(0, 3)), None if i % 7 == 0 else rng.random() * 1000,
              5.0 if i % 3 else rng.random()) for i in range(20001)]
     df = spark.createDataFrame(rows, "a double, b double, c double, t double").repartition(4)
-    got = exact_medians(df, ["a", "b", "c", "t"], max_bracket=200, accuracy=500, direct_limit=100)
+    got = exact_medians(df, ["a", "b", "c", "t"])
     want = df.agg(*[F.median(c).alias(c) for c in "abct"]).first().asDict()
     for c in "abct":
         assert got[c] == pytest.approx(want[c], rel=1e-12, abs=1e-12)
-    assert exact_medians(df, ["a", "c"]) == {"a": want["a"], "c": want["c"]}   # direct path
-    empty = exact_medians(df.where("a > 100"), ["a"])
-    assert empty == {"a": None}
+    assert exact_medians(df.where("a > 100"), ["a"]) == {"a": None}
+    groups = {"low": (F.col("b") < 2, ["a", "c"]), "all": (F.lit(True), ["t"]), "none": (F.lit(False), ["a"])}
+    rows = {(r["group"], r["column"]): r["median"] for r in grouped_medians(df, groups).collect()}
+    low = df.where("b < 2").agg(F.median("a").alias("a"), F.median("c").alias("c")).first()
+    assert set(rows) == {("low", "a"), ("low", "c"), ("all", "t")}
+    assert rows["low", "a"] == pytest.approx(low["a"]) and rows["low", "c"] == pytest.approx(low["c"])
+
+
+def test_feature_without_values_is_left_out(spark):
+    from milepost.constants import BASE_FEATURES
+    rng = np.random.default_rng(2)
+    data = [(i, None, *(float(v) for v in rng.normal(size=len(BASE_FEATURES) - 1)), float(rng.normal()))
+            for i in range(60)]
+    df = spark.createDataFrame(data, ", ".join(["project_id long"] + [f"{c} double" for c in BASE_FEATURES]
+                                               + [f"{GAPS[0]} double"]))
+    pred, rep = train_gap(df, 0, {"n": 60, "mean": 0.0, "min": -5.0, "max": 5.0}, candidates=["Ridge"])
+    assert rep["model"] == "Ridge" and BASE_FEATURES[0] not in pred.features
+    assert len(pred.features) == len(BASE_FEATURES) - 1
+    assert pred.predict(df, {}, "p").where("p is null").count() == 0
+
+
+def test_folds_take_the_seed(spark):
+    df = spark.range(0, 400).withColumnRenamed("id", "project_id")
+    a = {r["project_id"]: r["fold"] for r in with_folds(df, 5, seed=1).collect()}
+    b = {r["project_id"]: r["fold"] for r in with_folds(df, 5, seed=2).collect()}
+    assert a != b and set(a.values()) == set(b.values()) == set(range(5))
+
+
+def test_empty_folds_do_not_count(spark, small_training):
+    from milepost.operators.training import cv_scores
+    df = spark.createDataFrame([(float(i), 2.0 * i, i % 2) for i in range(40)],
+                               "__f_x double, label double, fold int")
+    assert cv_scores(["Ridge"], ["x"], small_training, df, 5)["Ridge"] > 0.5
+    one = df.withColumn("fold", F.lit(0))
+    assert cv_scores(["Ridge"], ["x"], small_training, one, 5)["Ridge"] != cv_scores(
+        ["Ridge"], ["x"], small_training, df, 5)["Ridge"]
 
 
 def test_snapshot_from_stored_counts_equals_direct(spark, tmp_path):
@@ -140,8 +173,8 @@ def test_training_is_deterministic(spark):
     df = spark.createDataFrame(data, ", ".join(f"{c} {'long' if c == 'project_id' else 'double'}"
                                                for c in cols)).repartition(3, "project_id")
     stats = {"n": 100, "mean": 40.0, "min": 0.0, "max": 100.0}
-    p1, r1 = train_gap(df, 0, stats, LIGHT)
-    p2, r2 = train_gap(df, 0, stats, LIGHT)
+    p1, r1 = train_gap(df, 0, stats)
+    p2, r2 = train_gap(df, 0, stats)
     assert r1 == r2
     a = [r["p"] for r in p1.predict(df, {}, "p").orderBy("project_id").collect()]
     b = [r["p"] for r in p2.predict(df, {}, "p").orderBy("project_id").collect()]

@@ -9,8 +9,10 @@ join, so a hot project, case or award collapses map-side):
 * court cases  details pre-aggregated per case (row count, area) and per
                (case, survey) pair; joined to the case rows on ``case_id``;
 * objections   one aggregate (Catalyst expands the three distinct counts);
-* assembly     project rows shuffled once on ``project_id`` and left-joined to
-               the three aggregates, which are already hash-partitioned on it.
+* assembly     project rows, still one per project, are left-joined to the three
+               aggregates (unique keys on both sides, so no key can be hot);
+* allocations  come last, where the rows fan out: keys with many allocations are
+               salted, keys without a match and null keys pass by.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import STAGE_COLS
+from ..session import cut_lineage
 
 ALLOCATION_COLS = ["uwid", "PROJECTID", "ShortNameofWork", "railway", "division",
                    "exec_agency_rly", "states", "districts", "land_acq_status"]
@@ -29,6 +32,12 @@ PROJECT_BASE_COLS = ["project_id", "project_name", "uwid", "pink_book_ref",
                      "government_land", "private_land", "forest_area", "total_land",
                      "land_available", "land_to_be_acquired", "state_id", "status"]
 
+PROJECT_COLS = ["project_id", "project_name", "pink_book_ref", "government_land", "private_land",
+                "forest_area", "total_land", "land_available", "land_to_be_acquired", "state_id",
+                "status"]
+# allocations of one key that a task may hold; keys with more are dealt into parts
+HEAVY_ROWS = 100_000
+
 COURT_COLS = ["court_case_count", "active_court_cases", "first_court_case_date",
               "last_court_case_date", "total_disputed_area", "disputed_surveys"]
 OBJECTION_COLS = ["objection_count", "active_objections", "first_objection_date",
@@ -62,29 +71,57 @@ def allocation_base(allocation: DataFrame) -> DataFrame:
     return allocation.select(*ALLOCATION_COLS).distinct()
 
 
+def with_allocations(projects: DataFrame, allocation: DataFrame,
+                     heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """R2: every project row left-joined to its (distinct) allocations on ``pink_book_ref``.
+
+    A key with more than ``heavy_rows`` allocations is dealt into that many parts: its
+    allocations by a hash of the row, its projects once to every part. The other keys go
+    through the plain left join, whose left side Spark can split where many projects share
+    a key; rows with a null key match nothing and skip it. No row is lost or doubled.
+    """
+    ab = allocation_base(allocation).where(F.col("PROJECTID").isNotNull())
+    fanned = [c for c in ALLOCATION_COLS if c != "PROJECTID"]
+    ab = ab.select(F.col("PROJECTID").alias("allocation_project_id"), *fanned)
+    # written once: the planner sees that it is small (at most rows / heavy_rows keys)
+    heavy = cut_lineage(ab.groupBy("allocation_project_id").agg(F.count(F.lit(1)).alias("n"))
+                        .where(F.col("n") > heavy_rows)
+                        .select(F.col("allocation_project_id").alias("__key"),
+                                F.ceil(F.col("n") / heavy_rows).cast("int").alias("__parts")))
+    keyed = projects.where(F.col("pink_book_ref").isNotNull())
+    plain = keyed.join(heavy, F.col("pink_book_ref") == F.col("__key"), "left_anti") \
+        .join(ab.join(heavy, F.col("allocation_project_id") == F.col("__key"), "left_anti"),
+              F.col("pink_book_ref") == F.col("allocation_project_id"), "left")
+    left = keyed.join(heavy, F.col("pink_book_ref") == F.col("__key")) \
+        .withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))) \
+        .drop("__key", "__parts")
+    right = ab.join(heavy, F.col("allocation_project_id") == F.col("__key")) \
+        .withColumn("__salt", F.pmod(F.xxhash64(*fanned), F.col("__parts")).cast("int")) \
+        .drop("__key", "__parts")
+    salted = left.join(right, (F.col("pink_book_ref") == F.col("allocation_project_id"))
+                       & (F.col("__part") == F.col("__salt"))).drop("__part", "__salt")
+    unkeyed = projects.where(F.col("pink_book_ref").isNull())
+    return plain.unionByName(salted).unionByName(unkeyed, allowMissingColumns=True)
+
+
+def _first_allocation(out: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per project: the first allocation by ``uwid, division``."""
+    return (out.groupBy("project_id")
+            .agg(F.min_by(F.struct(*[c for c in columns if c != "project_id"]),
+                          F.struct("uwid", "division")).alias("r"))
+            .select("project_id", "r.*").select(*columns))
+
+
 def project_base(project_basic: DataFrame, allocation: DataFrame,
-                 dedupe: bool = False) -> DataFrame:
+                 dedupe: bool = False, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """R2: every project row left-joined to its (distinct) allocations.
 
     One project with n allocation rows yields n rows (kept by default); with
     ``dedupe=True`` the first allocation by ``uwid, division`` is kept.
     """
-    ab = allocation_base(allocation)
-    pb = project_basic.alias("pb")
-    joined = pb.join(ab.alias("ab"), F.col("pb.pink_book_ref") == F.col("ab.PROJECTID"), "left")
-    out = joined.select(
-        "pb.project_id", "pb.project_name", "ab.uwid", "pb.pink_book_ref",
-        F.col("ab.PROJECTID").alias("allocation_project_id"),
-        "ab.ShortNameofWork", "ab.railway", "ab.division", "ab.exec_agency_rly",
-        "ab.states", "ab.districts", "ab.land_acq_status",
-        "pb.government_land", "pb.private_land", "pb.forest_area", "pb.total_land",
-        "pb.land_available", "pb.land_to_be_acquired", "pb.state_id", "pb.status")
-    if dedupe:
-        out = (out.groupBy("project_id")
-               .agg(F.min_by(F.struct(*[c for c in PROJECT_BASE_COLS if c != "project_id"]),
-                             F.struct("uwid", "division")).alias("r"))
-               .select("project_id", "r.*"))
-    return out
+    out = with_allocations(project_basic.select(*PROJECT_COLS), allocation, heavy_rows) \
+        .select(*PROJECT_BASE_COLS)
+    return _first_allocation(out, PROJECT_BASE_COLS) if dedupe else out
 
 
 # -- R3..R9 -----------------------------------------------------------------
@@ -207,18 +244,21 @@ def objection_summary(objections: DataFrame, collation: str | None = None) -> Da
 # -- R14..R16 ---------------------------------------------------------------
 
 def master_dataset(src: dict[str, DataFrame], dedupe: bool = False, per_case: bool = False,
-                   collation: str | None = None, ordered: bool = False) -> DataFrame:
+                   collation: str | None = None, ordered: bool = False,
+                   heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """The 38-column master dataset.
 
     ``ordered`` adds the final ``ORDER BY project_id`` (a range shuffle, only
     useful for presentation; downstream stages do not need it).
     """
-    pb = project_base(src["project_basic"], src["AllocationWise"], dedupe=dedupe)
     ms = milestone_dates(src)
     cc = court_case_summary(src["court_case"], src["court_case_details"], per_case, collation)
     ob = objection_summary(src["three_A_objections"], collation)
-    j = pb.join(ms, "project_id", "left").join(cc, "project_id", "left") \
-        .join(ob, "project_id", "left")
+    projects = src["project_basic"].select(*PROJECT_COLS).join(ms, "project_id", "left") \
+        .join(cc, "project_id", "left").join(ob, "project_id", "left")
+    j = with_allocations(projects, src["AllocationWise"], heavy_rows)
+    if dedupe:
+        j = _first_allocation(j, j.columns)
     zero = {c: F.coalesce(F.col(c), F.lit(0)).alias(c) for c in
             ["court_case_count", "active_court_cases", "disputed_surveys", "objection_count",
              "active_objections", "affected_surveys", "affected_parties"]}

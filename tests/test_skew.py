@@ -68,3 +68,45 @@ def test_hot_case_and_hot_project(spark, skew_conf):
 
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "isSkewJoin=true" in plan or "skew=true" in plan
+
+
+def _hot_tables(spark):
+    """Allocations and projects whose keys are hot on one side each, with null keys on both."""
+    from pyspark.sql import functions as F
+    ab = spark.range(3000).select(
+        F.concat(F.lit("U"), "id").alias("uwid"),
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 400)
+        .cast("long").alias("PROJECTID"),
+        *[F.lit("x").alias(c) for c in M.ALLOCATION_COLS if c not in ("uwid", "PROJECTID")])
+    projects = spark.range(900).select(
+        F.col("id").alias("project_id"), F.concat(F.lit("P"), "id").alias("project_name"),
+        F.when(F.col("id") % 3 == 0, 11).when(F.col("id") % 3 == 1, None).when(F.col("id") % 60 == 2, 7)
+        .otherwise(F.col("id")).cast("long").alias("pink_book_ref"),
+        *[F.lit(1.0).alias(c) for c in M.PROJECT_COLS[3:-2]],
+        F.lit(1).alias("state_id"), F.lit("s").alias("status"))
+    return projects, ab.union(ab.limit(500))
+
+
+@pytest.mark.parametrize("heavy_rows", [100, 10**9])
+def test_hot_allocations_and_projects(spark, skew_conf, heavy_rows):
+    projects, ab = _hot_tables(spark)
+    by_key = defaultdict(set)
+    for r in ab.collect():
+        by_key[r["PROJECTID"]].add(r["uwid"])
+    want = defaultdict(int)
+    for r in projects.collect():
+        for u in (by_key.get(r["pink_book_ref"]) if r["pink_book_ref"] is not None else None) or [None]:
+            want[r["project_id"], u] += 1
+    out = M.project_base(projects, ab, heavy_rows=heavy_rows)
+    got = defaultdict(int)
+    for r in out.collect():
+        got[r["project_id"], r["uwid"]] += 1
+    assert got == want
+
+
+def test_hot_allocation_key_is_dealt_out(spark, skew_conf):
+    from pyspark.sql import functions as F
+    projects, ab = _hot_tables(spark)
+    out = M.project_base(projects, ab, heavy_rows=100).where("pink_book_ref = 7")
+    sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) > 3 and max(sizes) < 0.6 * sum(sizes)

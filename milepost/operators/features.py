@@ -42,10 +42,8 @@ def with_gaps(df: DataFrame) -> DataFrame:
                             for i, g in enumerate(GAPS)])
 
 
-def build_features(df: DataFrame, mode: str, railway_codes: DataFrame,
-                   division_codes: DataFrame, scores: DataFrame,
-                   with_objections: bool = False, consistent: bool = False) -> DataFrame:
-    """Add the base features to ``df``.
+def own_features(df: DataFrame, mode: str, consistent: bool = False) -> DataFrame:
+    """Add the features that need no other table: lists, land, counts and start.
 
     ``df`` is master rows (``train`` / ``project``) or decoded requests
     (``request``: ``start_date`` already resolved, see ``scoring.decode``).
@@ -77,24 +75,28 @@ def build_features(df: DataFrame, mode: str, railway_codes: DataFrame,
     else:
         land = {k: F.col(k).cast("double") for k in LAND_DEFAULTS}
     d = d.select(*[c for c in d.columns if c not in land], *[v.alias(k) for k, v in land.items()])
-    if rule == "train":
-        total = C.safe_total(F.col("total_land").cast("double"), "zero")
-    elif rule == "project":
-        total = C.safe_total(F.col("government_land") + F.col("private_land")
-                             + F.col("forest_area"), "zero")
+    parts = F.col("government_land") + F.col("private_land") + F.col("forest_area")
+    if rule == "train":  # a request stores no total: it is the sum of its parts
+        total = C.safe_total(F.col("total_land").cast("double") if mode != "request" else parts, "zero")
     else:
-        total = C.safe_total(F.col("government_land") + F.col("private_land")
-                             + F.col("forest_area"), "positive")
+        total = C.safe_total(parts, "zero" if rule == "project" else "positive")
     shares = C.land_scores("government_land", "private_land", "forest_area", total)
 
     start = F.col("date_37A") if mode in ("train", "project") else F.col("start_date")
     counts = {c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
               for c in ["court_case_count", "active_court_cases"]}
-    d = d.select(*[c for c in d.columns if c not in counts],
-                 *[v.alias(k) for k, v in counts.items()],
-                 C.flag_positive("court_case_count").alias("has_court_cases"),
-                 F.year(start).alias("start_year"), F.month(start).alias("start_month"),
-                 *[v.alias(k) for k, v in shares.items()])
+    return d.select(*[c for c in d.columns if c not in counts],
+                    *[v.alias(k) for k, v in counts.items()],
+                    C.flag_positive("court_case_count").alias("has_court_cases"),
+                    F.year(start).alias("start_year"), F.month(start).alias("start_month"),
+                    *[v.alias(k) for k, v in shares.items()])
+
+
+def build_features(df: DataFrame, mode: str, railway_codes: DataFrame,
+                   division_codes: DataFrame, scores: DataFrame,
+                   with_objections: bool = False, consistent: bool = False) -> DataFrame:
+    """Add all base features to ``df``: ``own_features``, codes and digitalization scores."""
+    d = own_features(df, mode, consistent)
     d = encode(d, "railway", railway_codes, "railway_enc")
     d = encode(d, "division", division_codes, "division_enc")
     d = add_digitalization(d, scores)

@@ -16,12 +16,12 @@ from ..functions.encoding import encode, fit_label_codes_many
 from ..operators import master as M
 from ..operators import scoring as S
 from ..operators.digitalization import add_digitalization, digitalization_scores
-from ..operators.features import build_features, with_dates, with_gaps
+from ..operators.features import build_features, own_features, with_dates, with_gaps
 from ..operators.forecast import active_projects, forecast, with_current_stage
 from ..operators.models import ModelSet, folder_exists
 from ..operators.snapshot import snapshot, snapshot_response
 from ..operators.stats import gap_stats, prior_medians, stage_durations, summary_stats
-from ..session import cut_lineage, shared_dir
+from ..session import cut_lineage, keep_until_end, shared_dir
 from ..sources.fixtures import Fixtures
 
 # request dates that do not parse fall back to this day (the service uses "today")
@@ -123,7 +123,17 @@ class Ctx:
 
     def mean_models(self):
         """Mean predictors from one aggregate: six gap statistic rows and the six-row
-        duration table (model-sized, so they travel as values); no codes or scores."""
+        duration table (model-sized, so they travel as values); no codes or scores.
+
+        They are stored (S6) the first time an application asks for those of a source
+        folder and loaded (S7) afterwards, so a batch of requests reads no source table.
+        """
+        path = model_path(self, "mean")
+        if not folder_exists(self.spark, f"{path}/meta/_SUCCESS"):
+            self._mean_models().save(path)  # meta is written last
+        return ModelSet.load(self.spark, path)
+
+    def _mean_models(self):
         rows = summary_stats(self.rows).collect()            # twelve rows at most
         stats = [{"gap": r["name"], "mean": r["mean"], "min": r["min"], "max": r["max"],
                   "n": r["n"]} for r in rows if r["kind"] == "gap"]
@@ -195,20 +205,17 @@ LAND_OUT = ["government_land", "private_land", "forest_area", "court_case_count"
 
 
 def q_land_features(spark, sf_dir):
-    c = Ctx(spark, sf_dir)
-    f = c.features(c.master, "train")
+    f = own_features(Ctx(spark, sf_dir, store=False).master, "train")
     return _round(f.select("project_id", *LAND_OUT), FLOAT_FEATURES)
 
 
 def q_land_features_project(spark, sf_dir):
-    c = Ctx(spark, sf_dir)
-    f = c.features(active_projects(c.master), "project")
+    f = own_features(active_projects(Ctx(spark, sf_dir, store=False).master), "project")
     return _round(f.select("project_id", *LAND_OUT), FLOAT_FEATURES)
 
 
 def q_land_features_request(spark, sf_dir):
-    c = Ctx(spark, sf_dir)
-    f = c.features(c.requests(), "request")
+    f = own_features(Ctx(spark, sf_dir).requests(), "request")
     return _round(f.select("request_id", *LAND_OUT), FLOAT_FEATURES)
 
 
@@ -338,6 +345,13 @@ def q_request_decoding(spark, sf_dir):
 
 # -- learned models (rows-only checks) ---------------------------------------
 
+def model_path(c: Ctx, kind: str) -> str:
+    """Folder of the stored models of a source folder, in this application's shared folder."""
+    name = hashlib.sha256(c.fx.sf_dir.encode()).hexdigest()[:16]
+    return keep_until_end(
+        c.spark, f"{shared_dir(c.spark)}/models/{c.spark.sparkContext.applicationId}/{name}-{kind}")
+
+
 def learned_models(c: Ctx):
     """The trained models and their report, loaded from the stored artifacts.
 
@@ -346,8 +360,7 @@ def learned_models(c: Ctx):
     """
     from ..operators.training import train_all
     spark = c.spark
-    name = hashlib.sha256(c.fx.sf_dir.encode()).hexdigest()[:16]
-    path = f"{shared_dir(spark)}/models/{spark.sparkContext.applicationId}/{name}"
+    path = model_path(c, "learned")
     if not folder_exists(spark, f"{path}/report/_SUCCESS"):
         rc, dc = c.codes
         feats = build_features(c.master, "train", rc, dc, c.scores, False)

@@ -70,6 +70,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_until_end(spark: SparkSession, path: str) -> str:
+    """Have ``drop_tables`` delete ``path``, as the tables of ``cut_lineage``."""
+    _written[path] = spark
+    return path
+
+
 def drop_tables(spark: SparkSession) -> int:
     """Delete every table that ``cut_lineage`` wrote in this session; returns their number.
 

@@ -4,6 +4,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -15,7 +16,8 @@ from milepost.operators.scoring import decode_requests, envelope, score_requests
 from milepost.plans import jobs
 from milepost.plans.queries import Ctx
 from milepost.sources.fixtures import Fixtures
-from milepost.sources.tables import list_runs, read_snapshot, write_snapshot
+from milepost.sources.tables import (latest_run, list_runs, read_jdbc_tables, read_snapshot,
+                                     write_snapshot)
 from milepost.streaming.requests import start_request_scoring
 
 
@@ -26,7 +28,18 @@ def test_snapshot_store_round_trip(spark):
     write_snapshot(df.limit(3), root, run="20250102_000000")
     assert [os.path.basename(p) for p in list_runs(spark, root)] == [
         "run=20250102_000000", "run=20250101_000000"]
-    assert read_snapshot(spark, root).count() == 3          # latest first
+    assert read_snapshot(spark, root).count() == 3          # the published run
+    write_snapshot(df.limit(1), root, run="20241231_000000")
+    assert read_snapshot(spark, root).count() == 1          # the last one published, not the newest name
+    assert latest_run(spark, root).endswith("run=20241231_000000")
+    runs = spark.read.option("basePath", root).parquet(f"{root}/run=*")
+    assert runs.count() == 9                                # every run is stored once
+
+
+def test_jdbc_demands_partitioning(spark):
+    with pytest.raises(ValueError, match="three_A_master"):
+        read_jdbc_tables(spark, "jdbc:none", {}, {"project_basic": ("project_id", 0, 9, 3)},
+                         ["project_basic", "three_A_master"])
 
 
 def test_records_reader(spark):
@@ -57,7 +70,7 @@ def test_train_forecast_snapshot_jobs(spark):
     assert len(rep) == 6 and all(r["n"] > 0 for r in rep.values())
     doc = json.loads(spark.read.text(f"{work}/models/report").first()[0])
     assert len(doc["trained_on"]) == len("31-12-2025 00:00:00")
-    assert doc["dataset_rows"] == spark.read.parquet(f"{work}/master/latest").count()
+    assert doc["dataset_rows"] == read_snapshot(spark, f"{work}/master").count()
     assert set(doc["stage_durations"]) == {"7A", "20A", "20E", "20F", "20H", "Mutation"}
     targets = fx["target_dates"]
     snap = jobs.forecast_job(spark, f"{work}/master", f"{work}/models", f"{work}/forecast", targets)

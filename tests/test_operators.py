@@ -214,3 +214,39 @@ def test_label_codes_of_two_columns_in_one_pass(spark):
     d = {x["label"]: x["code"] for x in got["division"].collect()}
     assert r == {"CR": 0, "ECR": 1, "ECoR": 2, "NR": 3, "b": 4}
     assert d == {"ADI": 0, "CSTM": 1, "Corporate Office": 2, "DLI": 3, "nan": 4}
+
+
+def test_consistent_rules_on_requests(spark):
+    from milepost.operators.features import own_features
+    from milepost.operators.scoring import decode_requests
+    req = spark.createDataFrame([(1, '{"states": "x,7", "government_land": 0, "private_land": 0, "forest_area": 0}'),
+                                 (2, '{"government_land": 10, "private_land": 20, "forest_area": 10}')],
+                                "request_id long, body string")
+    got = {r["request_id"]: r for r in own_features(
+        decode_requests(req, body_col="body", as_of="2025-01-01"), "request", consistent=True).collect()}
+    assert got[1]["land_difficulty_score"] == 0.0 and got[1]["num_states"] == 2
+    assert got[2]["land_difficulty_score"] == (30 + 40 + 10) / 40
+
+
+def test_request_faults_name_the_field_and_never_fail(spark):
+    from milepost.operators.scoring import decode_requests
+    bodies = {"not json": "request body is not a JSON object", "[1,2]": "request body is not a JSON object",
+              None: "request body is not a JSON object", "{}": None, '{"railway": null}': None,
+              '{"government_land": null}': "bad number in government_land",
+              '{"court_case_count": 1e30}': "bad number in court_case_count",
+              '{"court_case_count": "NaN"}': "bad number in court_case_count",
+              '{"court_case_count": "2.9"}': "bad number in court_case_count",
+              '{"court_case_count": 2.9}': None, '{"forest_area": "NaN"}': None}
+    df = spark.createDataFrame(list(enumerate(bodies)), "request_id long, body string")
+    rows = decode_requests(df, body_col="body", as_of="2025-01-01").orderBy("request_id").collect()
+    assert [r["error"] for r in rows] == list(bodies.values())
+    assert rows[4]["railway"] == "None" and rows[3]["railway"] == "NR"
+    assert rows[9]["court_case_count"] == 2 and rows[6]["court_case_count"] == 0
+
+
+def test_tables_are_dropped(spark):
+    from milepost.session import cut_lineage, drop_tables
+    from milepost.sources.tables import path_exists
+    df = cut_lineage(spark.range(3))
+    path = df.inputFiles()[0].rsplit("/", 1)[0]
+    assert path_exists(spark, path) and drop_tables(spark) >= 1 and not path_exists(spark, path)

@@ -1,8 +1,9 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects a text whose measure lies above a cutoff. The cutoff of a rule in a
-stratum (language) is the lowest of a fixed grid whose false rejection rate among the
-good labelled documents is proven: with n good documents of which k are rejected, the
+Each rule rejects a text whose measure lies above a cutoff of a fixed grid. In a stratum
+(language) only cutoffs whose false rejection rate among the good labelled documents is
+proven may be used; of these the one that rejects most bad less good documents is, the
+laxest of equals, and none where that is not above 0. Proof: with n good documents of which k are rejected, the
 exact binomial tail P(Bin(n, a) <= k) must not exceed delta / (number of tests), where
 a = ALPHA / number of rules and the tests are all (stratum, rule, cutoff) triples
 (Bonferroni). A union bound over the rules then keeps the false rejections of a
@@ -116,7 +117,7 @@ def _passed(value: Column, grid: Column) -> Column:
 
 def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA,
               delta: float = DELTA) -> DataFrame:
-    """(stratum, cutoffs map<rule, double>): the strictest proven cutoff of each rule.
+    """(stratum, cutoffs map<rule, double>): the best proven cutoff of each rule.
 
     ``measured``: doc_id, stratum and the measures. All labelled documents that pass
     the base rules are counted; the counts per (stratum, rule, bin) are partial
@@ -131,7 +132,8 @@ def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA,
             for r, (v, _) in RULES.items()]
     counts = (held.select("stratum", "good", F.explode(F.array(*bins)).alias("b"))
               .groupBy("stratum", "b.rule", "b.bin")
-              .agg(F.sum(F.when(F.col("good") == 1, 1).otherwise(0)).alias("good")))
+              .agg(F.sum(F.when(F.col("good") == 1, 1).otherwise(0)).alias("good"),
+                   F.sum(F.when(F.col("good") == 1, 0).otherwise(1)).alias("bad")))
     counts = cut_lineage(counts)
     tests = counts.select("stratum").distinct().count() * sum(len(g) for _, g in RULES.values())
     by = Window.partitionBy("stratum", "rule")
@@ -139,15 +141,17 @@ def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA,
     risk = alpha / len(RULES)
     tried = (counts.select("stratum", "rule", "bin",
                            F.sum("good").over(above).cast("double").alias("k"),
+                           F.sum("bad").over(above).alias("bad"),
                            F.sum("good").over(by).cast("double").alias("n"))
              .withColumn("p_value", binomial_tail("k", "n", risk)))
-    cutoff = reduce(lambda c, r: c.when(F.col("rule") == r, F.get(grids[r], F.col("bin") - 1)),
-                    list(RULES)[1:],
-                    F.when(F.col("rule") == list(RULES)[0],
-                           F.get(grids[list(RULES)[0]], F.col("bin") - 1)))
+    # a measure that passes `bin` cutoffs passes the strictest ones of its grid
+    cutoff = F.coalesce(*[F.when(F.col("rule") == r, F.get(g, F.size(g) - F.col("bin")))
+                          for r, g in grids.items()])
     proven = (tried.filter((F.col("bin") > 0) & (F.col("p_value") <= delta / max(1, tests)))
-              .select("stratum", "rule", cutoff.alias("cutoff"))
-              .groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff")))
+              .select("stratum", "rule", F.struct((F.col("bad") - F.col("k")).alias("gain"),
+                                                  cutoff.alias("cutoff")).alias("c"))
+              .groupBy("stratum", "rule").agg(F.max("c").alias("c"))  # of equal gains the laxest
+              .filter("c.gain > 0").select("stratum", "rule", F.col("c.cutoff").alias("cutoff")))
     return proven.groupBy("stratum").agg(
         F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
 

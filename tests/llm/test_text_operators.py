@@ -95,13 +95,21 @@ def test_binomial_tail_is_exact(spark):
 
 
 def test_cutoffs_hold_the_false_rejections(spark):
-    rows = [(i, "word " * 0 + " ".join(f"w{i}x{j}" for j in range(20)) + (" #$%" * 12 if i % 10 == 0 else ""),
+    rows = [(i, " ".join(f"w{i}x{j}" + "#$%" * (i % 10 == 0 and j % 3 == 0) for j in range(20)),
              "en", 0 if i % 10 == 0 else 1, 0) for i in range(6000)]
     got = quality.verdicts(cases.documents(spark, rows), cases.labels(spark, rows))
     by = {(r.bad, r.kept): r["count"] for r in
           got.selectExpr("doc_id % 10 = 0 as bad", "kept").groupBy("bad", "kept").count().collect()}
     assert by.get((False, False), 0) <= 0.02 * 5400
     assert by.get((True, True), 0) == 0
+    # the rule that tells them apart has the laxest cutoff that does
+    found = {r["stratum"]: r["cutoffs"] for r in quality.calibrate(
+        quality.with_measures(cases.documents(spark, rows).select("doc_id", "text", "lang"))
+        .selectExpr("doc_id", "lang as stratum", "_m.*"),
+        cases.labels(spark, rows)).collect()}
+    ratio = sorted(r[2] / r[1] for r in got.filter("doc_id % 10 = 0").select(
+        "doc_id", "word_chars", "n_symbols").collect())[0]
+    assert found["en"]["symbols"] == max(c for c in quality.RULES["symbols"][1] if c < ratio)
     kept = quality.keep_good(cases.documents(spark, rows), cases.labels(spark, rows))
     assert kept.columns == cases.documents(spark, rows).columns
     assert kept.count() == sum(v for (_, k), v in by.items() if k)

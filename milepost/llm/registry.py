@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, lmscore, maintext, neardup, quality, sharding, toxicity
+from . import bpe, decontam, langid, licenses, lmscore, maintext, neardup, quality, sharding, toxicity
 
 
 def queries() -> dict:
     return {"op1_toxicity": toxicity.op1_toxicity,
             "op2_byte_bpe": bpe.op2_byte_bpe,
+            "op3_license_scan": licenses.op3_license_scan,
             "op4_positional_index": decontam.op4_positional_index,
             "op5_context_mixing": lmscore.op5_context_mixing,
             "op6_bitmask_langid": langid.op6_bitmask_langid,

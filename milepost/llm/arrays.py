@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 _BLOCK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _U64 = np.uint64
@@ -26,7 +27,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str,
            limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut by rows so that a piece holds about ``limit`` bytes of the column.
 
-    A single longer text is a piece of its own; texts are never cut.
+    A single longer text is a piece of its own; texts are never cut. After the last piece
+    the worker's freed memory goes back to the system, as workers wait for further tasks.
     """
     for batch in batches:
         if batch.num_rows == 0:
@@ -38,6 +40,16 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str,
             stop = min(max(stop, start + 1), batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
+    batch = None
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc
+        trim(0)
 
 
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

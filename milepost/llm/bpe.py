@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from .arrays import pieces
 
-PIECE_BYTES = 5 << 20
+PIECE_BYTES = 2 << 20
+DECODED_IDS = 1 << 18   # ids decoded at a time, whole texts
 ROW_WORDS = 1 << 15     # words of one length folded at a time
 LONG = 256              # bytes; longer words are folded one by one
 NONE = np.int32(2**31 - 1)
@@ -177,8 +178,13 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, keep_ids: bool = False) -
     def run(batches):
         bytes_of = shared.value.bytes_of
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            upto = np.concatenate([[0], np.cumsum(
+                batch.column(1).value_lengths().to_numpy(zero_copy_only=False))])
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + DECODED_IDS, side="right")) - 1)
+                part = batch.slice(lo, hi - lo)
+                lo = hi
                 ids = part.column(1).to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(x) for x in ids], pa.int64()),

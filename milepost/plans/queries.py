@@ -390,6 +390,17 @@ def q_training_set_medians(spark, sf_dir):
     return _round(training_set_medians(c.features(c.master, "train")), ["median"])
 
 
+def q_scaled_features(spark, sf_dir):
+    """M1-M3 of the first gap: its training rows imputed and scaled."""
+    from ..operators.training import medians_by_gap, scaled_features, training_set
+    c = Ctx(spark, sf_dir)
+    rows = c.features(c.master, "train").select("project_id", *BASE_FEATURES, *GAPS)
+    frame, feats = training_set(rows, 0, medians_by_gap(rows, gaps=GAPS[:1])[GAPS[0]])
+    z = scaled_features(frame, feats)
+    # + 0.0: a negative zero is zero
+    return z.select("project_id", *[(F.round(f, 4) + F.lit(0.0)).alias(f) for f in feats])
+
+
 def q_gap_model_report(spark, sf_dir):
     return learned_models(Ctx(spark, sf_dir))[1]
 
@@ -435,6 +446,7 @@ def queries() -> dict[str, Query]:
         "gap_stats": q_gap_stats,
         "prior_medians": q_prior_medians,
         "training_set_medians": q_training_set_medians,
+        "scaled_features": q_scaled_features,
         "stage_durations": q_stage_durations,
         "report_durations": q_report_durations,
         "active_projects": q_active_projects,

@@ -52,6 +52,23 @@ def give_back() -> None:
         trim(0)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until the column holds about ``limit`` bytes, then cut as ``pieces``."""
+    def joined():
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            held.append(batch)
+            size += int(column_bytes(batch.column(batch.schema.get_field_index(column)))[1][-1])
+            if size >= limit:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+        if held:
+            yield pa.concat_batches(held)
+    return pieces(joined(), column, limit)
+
+
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts, one after the other, and the n + 1 offsets; null is empty."""
     if col.null_count:

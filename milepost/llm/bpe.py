@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .arrays import pieces
+from .arrays import gathered
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 6 << 20
 DECODED_IDS = 1 << 18   # ids decoded at a time, whole texts
 ROW_WORDS = 1 << 15     # words of one length folded at a time
 LONG = 256              # bytes; longer words are folded one by one
@@ -160,7 +160,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        for piece in pieces(batches, "text", PIECE_BYTES):
+        for piece in gathered(batches, "text", PIECE_BYTES):
             ids, offsets = shared.value.encode(piece.column(1).fill_null("").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [piece.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))],
@@ -177,6 +177,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, keep_ids: bool = False) -
 
     def run(batches):
         bytes_of = shared.value.bytes_of
+        decimal = {i: str(i) for i in bytes_of}
         for batch in batches:
             upto = np.concatenate([[0], np.cumsum(
                 batch.column(1).value_lengths().to_numpy(zero_copy_only=False))])
@@ -188,7 +189,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, keep_ids: bool = False) -
                 ids = part.column(1).to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(x) for x in ids], pa.int64()),
-                     pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]),
+                     pa.array([hashlib.sha256(",".join(map(decimal.__getitem__, x)).encode()).hexdigest() for x in ids]),
                      pa.array([b"".join(map(bytes_of.__getitem__, x)) for x in ids], pa.binary()),
                      *([part.column(1)] if keep_ids else [])],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded", *(["ids"] if keep_ids else [])])

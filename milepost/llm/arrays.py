@@ -69,6 +69,20 @@ def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iter
     return pieces(joined(), column, limit)
 
 
+def batched(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold at least ``rows`` rows."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts, one after the other, and the n + 1 offsets; null is empty."""
     if col.null_count:

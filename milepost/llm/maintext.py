@@ -4,9 +4,10 @@ Per page a small tree is built from the markup. Every node gets its link-adjuste
 characters per tag (composite text density), every node the sum of its children's
 densities. The subtree with the largest sum is the seed; the lowest density on the path
 from it up to the body is the threshold, and inside every node that reaches the threshold
-the subtree with the largest sum is content too. Elements that say what they are (menus,
-headers, footers, asides, forms, adverts, notices, comments, by tag, role, class or id)
-are left out before; a seed inside an ``article`` or ``main`` stands for all of it.
+the subtree with the largest sum is content too. Formatting (bold, line breaks, spans) is
+no node of its own: its text is the block's. The tags ``article`` and ``main`` count as any
+other block. Elements that say what they are (menus, headers, footers, asides, forms,
+adverts, notices, comments, by tag, role, class or id) are left out before.
 
 Pages are independent: no shuffle, one page in memory at a time.
 
@@ -43,6 +44,9 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p "
     "pre search section summary table tbody td tfoot th thead tr ul caption".split())
+INLINE = frozenset(
+    "abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rb rp rt "
+    "ruby s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = RAW | frozenset(
     "head nav footer aside form button select option input label menu dialog canvas audio video "
     "map datalist fieldset".split())
@@ -161,7 +165,7 @@ def _densities(page: Page, texts: list[int]):
             continue
         p, link = page.parent[i], page.tag[i] == "a"
         chars[p] += chars[i]
-        tags[p] += tags[i] + 1
+        tags[p] += tags[i] + (page.tag[i] not in INLINE)
         link_chars[p] += chars[i] if link else link_chars[i]
         link_tags[p] += link_tags[i] + link
         if link:
@@ -170,11 +174,12 @@ def _densities(page: Page, texts: list[int]):
     density, total = [0.0] * n, [0.0] * n
     for i in range(n - 1, -1, -1):
         c, t, lc, lt = chars[i], max(1, tags[i]), max(1, link_chars[i]), max(1, link_tags[i])
-        if c and not page.out[i]:
+        inline = page.tag[i] in INLINE
+        if c and not inline and not page.out[i]:
             base = math.log(c / max(1, c - link_chars[i]) * link_chars[i] + body * c + math.e)
             density[i] = c / t * max(0.0, math.log(c / lc * t / lt)) / max(0.1, math.log(base))
         if i and not page.out[i]:
-            total[page.parent[i]] += density[i]
+            total[page.parent[i]] += total[i] if inline else density[i]
     return chars, link_chars, density, total
 
 
@@ -191,6 +196,10 @@ def main_text(source: str) -> str:
             text = _html.unescape(text)
             own[node] += len("".join(text.split()))
             events.append((node, text))
+    for i in range(n - 1, 0, -1):  # formatted text is its block's
+        if page.tag[i] in INLINE:
+            own[page.parent[i]] += own[i]
+            own[i] = 0
     chars, link_chars, density, total = _densities(page, own)
     if not chars[0]:
         return ""
@@ -198,30 +207,28 @@ def main_text(source: str) -> str:
     best = list(range(n))
     for i in range(n - 1, 0, -1):
         p = page.parent[i]
-        if not page.out[i] and total[best[i]] > total[best[p]]:
+        if page.out[i] or page.tag[best[i]] in INLINE:
+            continue
+        if page.tag[best[p]] in INLINE or total[best[i]] > total[best[p]]:
             best[p] = best[i]
     seed = best[0] if total[best[0]] > 0 else 0
-    path, i = [], seed
+    path, i = set(), seed
     while i >= 0:
-        path.append(i)
+        path.add(i)
         i = page.parent[i]
-    threshold = min(density[i] for i in path)
-    whole = next((i for i in reversed(path) if page.tag[i] in ("article", "main")), None)
-    content = [False] * n
-    if whole is not None:
-        content[whole] = True
-    else:
-        content[seed] = True
-        reached = [False] * n
-        for i in range(n):
-            p = page.parent[i]
-            reached[i] = not page.out[i] and density[i] >= threshold and (p < 0 or reached[p])
-            if reached[i] and total[best[i]] > 0:
+    threshold = min(density[i] for i in path if page.tag[i] not in INLINE)
+    content, reached = [False] * n, [False] * n
+    content[seed] = True
+    for i in range(n):
+        p, inline = page.parent[i], page.tag[i] in INLINE
+        reached[i] = not page.out[i] and (inline or density[i] >= threshold) and (p < 0 or reached[p])
+        if reached[i] and not inline:
+            if total[best[i]] > 0:
                 content[best[i]] = True
-            elif reached[i] and density[i] > 0 and own[i]:
-                content[i] = True
-            if re.fullmatch("h[1-6]", page.tag[i]) and p in path:
+            elif density[i] > 0 and own[i]:
                 content[i] = True
+        if re.fullmatch("h[1-6]", page.tag[i]) and p in path:
+            content[i] = True
     for i in range(1, n):
         content[i] = (content[i] or content[page.parent[i]]) and not page.out[i]
         # lists and boxes of links inside the content are menus

@@ -245,3 +245,22 @@ def test_main_text_of_pages(spark):
         article = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
         assert got[r.page_id] == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", article)).split())
     assert [r.text for r in maintext.extract(rows).collect()] == [""]
+
+
+def test_densities_choose_the_main_text(spark):
+    import html
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        article = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", article)).split())
+        for name in ("div", "section", "main"):
+            page = r.html.replace("<article>", f"<{name}>").replace("</article>", f"</{name}>")
+            assert maintext.main_text(page) == want
+    para = "<p>" + "Some words of a longer text that goes on. " * 6 + "</p>"
+    links = "<div>" + "".join(f"<a href={i}>Link {i}</a> " for i in range(20)) + "</div>"
+    for name in ("article", "div"):
+        several = "".join(f"<{name}><h2>Name{j}</h2>{para * j}</{name}>" for j in (1, 2, 3))
+        got = maintext.main_text(f"<body>{links}<div>{several}</div></body>")
+        assert all(f"Name{j}" in got for j in (1, 2, 3)) and "Link" not in got
+        page = f"<body><main><{name}><h1>Name</h1>{para * 4}</{name}><div>{links}Unmarked note</div></main></body>"
+        got = maintext.main_text(page)
+        assert got.startswith("Name Some") and "Unmarked" not in got and "Link" not in got

@@ -6,13 +6,18 @@ densities. The subtree with the largest sum is the seed; the lowest density on t
 from it up to the body is the threshold, and inside every node that reaches the threshold
 the subtree with the largest sum is content too. Formatting (bold, line breaks, spans) is
 no node of its own: its text is the block's. The tags ``article`` and ``main`` count as any
-other block. Elements that say what they are (menus, headers, footers, asides, forms,
-adverts, notices, comments, by tag, role, class or id) are left out before.
+other block.
+
+Elements that say they are no main text (menus, headers, footers, asides, forms, adverts,
+notices, comments, by tag, role, class or id) are marked. In a first choice of the seed
+over the whole page their characters count less; marked elements that hold this seed or
+most of its text stay, the others are left out, and the choice is made again without them.
 
 Pages are independent: no shuffle, one page in memory at a time.
 
 Defined results: null or empty html and pages without text give an empty text; broken or
-unclosed markup is closed where the next block starts; character references are decoded
+unclosed markup is closed where the next block starts (an unclosed script, style, xmp or
+textarea holds the rest of the page); character references are decoded
 (unknown ones stay); repeated rows are treated each by itself; an empty table gives an
 empty result. Only page_id, url and html are read, so other columns can't clash.
 """
@@ -47,7 +52,8 @@ BLOCK = frozenset(
 INLINE = frozenset(
     "abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rb rp rt "
     "ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = RAW | frozenset(
+TO_END = frozenset("script style textarea xmp".split())  # unclosed they hold the rest
+SUSPECT = frozenset(
     "head nav footer aside form button select option input label menu dialog canvas audio video "
     "map datalist fieldset".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
@@ -63,6 +69,15 @@ MARKERS = frozenset(
     "promotion recommended related replies reply respond search share sharing sidebar signup "
     "skip social sponsor sponsored subscribe subscription toolbar topbar warning widget alert "
     "aside toc tags".split())
+# In the first choice a character counts MARK_WEIGHT times less for each mark around it, up to MARKS.
+MARK_WEIGHT, MARKS = 5, 2
+
+_NEXT_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK))}|body|html)(?=[\s/>])", re.I)
+
+
+@lru_cache(maxsize=None)
+def _raw_tags(name: str) -> re.Pattern:
+    return re.compile(rf"<!--.*?-->|<(?P<end>/?){name}(?=[\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>", re.I | re.S)
 
 
 @lru_cache(maxsize=4096)
@@ -84,7 +99,8 @@ class Page:
     """Nodes in page order with parents, and the texts and block ends in page order."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.out = ["body"], [-1], [False]
+        self.tag, self.parent, self.out, self.marked = ["body"], [-1], [False], [False]
+        self._source, self._closings = source, {}
         self.events: list[tuple[int, str | None]] = []
         self._stack = [0]
         pos, end = 0, len(source)
@@ -103,13 +119,32 @@ class Page:
                 continue
             attrs = m["attrs"] or m["attrs2"] or ""
             self._open(name, attrs)
-            if name in RAW and not attrs.rstrip().endswith("/"):
-                closing = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, pos)
-                pos = closing.end() if closing else end
+            if name in RAW:
+                if not attrs.rstrip().endswith("/"):
+                    pos = self._raw_end(name, m.start(), pos)
                 self._close(name)
         if pos < end:
             self.events.append((self._stack[-1], source[pos:]))
 
+    def _raw_end(self, name: str, start: int, pos: int) -> int:
+        """Where the raw element that opened at ``start`` ends; it is unclosed before the next block."""
+        if name in TO_END:
+            closing = re.compile(rf"</{name}\s*>", re.I).search(self._source, pos)
+            return closing.end() if closing else len(self._source)
+        if name not in self._closings:
+            closings, opened = {}, []
+            for m in _raw_tags(name).finditer(self._source):
+                if m["end"]:
+                    if opened:
+                        closings[opened.pop()] = m.end()
+                elif m["end"] is not None and m[0][-2] != "/":
+                    opened.append(m.start())
+            self._closings[name] = closings
+        if start in self._closings[name]:
+            return self._closings[name][start]
+        block = _NEXT_BLOCK.search(self._source, pos)
+        return block.start() if block else len(self._source)
+
     def _break(self) -> None:
         self.events.append((self._stack[-1], None))
 
@@ -118,6 +153,8 @@ class Page:
 
     def _open(self, name: str, attrs: str) -> None:
         if name in ("html", "body"):
+            if name == "body":
+                self._close("head")
             return
         stack, tag = self._stack, self.tag
         if name in BLOCK:  # an open paragraph ends where a block starts
@@ -137,10 +174,11 @@ class Page:
         if name in BLOCK or name == "br":
             self._break()
         inside = not {"article", "main"}.isdisjoint(tag[i] for i in stack)
-        drop = name in DROPPED or name == "header" and not inside or name not in ("article", "main") and _marked(attrs, inside)
         self.tag.append(name)
         self.parent.append(stack[-1])
-        self.out.append(drop or self.out[stack[-1]])
+        self.out.append(name in RAW or self.out[stack[-1]])
+        self.marked.append(name in SUSPECT or name == "header" and not inside
+                           or name not in ("article", "main") and _marked(attrs, inside))
         if name not in VOID:
             stack.append(len(tag) - 1)
 
@@ -183,6 +221,29 @@ def _densities(page: Page, texts: list[int]):
     return chars, link_chars, density, total
 
 
+def _leave_out_marked(page: Page, own: list[int]) -> None:
+    """Marks as out what is marked, but not the elements that hold the seed of the first choice."""
+    n = len(page.tag)
+    marks, weighted = [0] * n, list(own)
+    for i in range(n):
+        if i:
+            marks[i] = min(MARKS, marks[page.parent[i]] + page.marked[i])
+        weighted[i] *= MARK_WEIGHT ** (MARKS - marks[i])
+    chars, link_chars, _, total = _densities(page, weighted)
+    seed = max((i for i in range(n) if page.tag[i] not in INLINE), key=total.__getitem__)
+    holding, i = set(), seed
+    while i >= 0:
+        holding.add(i)
+        i = page.parent[i]
+    for i in range(seed + 1, n):  # down to the child with more than half of the text
+        p = page.parent[i]
+        if p == seed and 2 * (chars[i] - link_chars[i]) > chars[p] - link_chars[p]:
+            holding.add(i)
+            seed = i
+    for i in range(1, n):
+        page.out[i] = page.out[i] or page.out[page.parent[i]] or page.marked[i] and i not in holding
+
+
 def main_text(source: str) -> str:
     """The main text of one page."""
     page = Page(source)
@@ -196,6 +257,9 @@ def main_text(source: str) -> str:
             text = _html.unescape(text)
             own[node] += len("".join(text.split()))
             events.append((node, text))
+    if any(page.marked):
+        _leave_out_marked(page, own)
+        own = [0 if out else c for out, c in zip(page.out, own)]
     for i in range(n - 1, 0, -1):  # formatted text is its block's
         if page.tag[i] in INLINE:
             own[page.parent[i]] += own[i]

@@ -264,3 +264,38 @@ def test_densities_choose_the_main_text(spark):
         page = f"<body><main><{name}><h1>Name</h1>{para * 4}</{name}><div>{links}Unmarked note</div></main></body>"
         got = maintext.main_text(page)
         assert got.startswith("Name Some") and "Unmarked" not in got and "Link" not in got
+
+
+def test_markers_do_not_take_the_main_text_away():
+    para = "<p>" + "Some words of a longer text that goes on. " * 6 + "</p>"
+    menu = "<nav><ul>" + "".join(f"<li><a href={i}>Menu {i}</a></li>" for i in range(9)) + "</ul></nav>"
+    side = '<div class="sidebar"><p>Side words</p></div><div class="comments"><p>A comment that says a bit.</p></div>'
+    text = f"<h1>Name</h1>{para * 3}"
+    want = maintext.main_text(f"<body>{menu}<div>{text}</div>{side}<footer>Foot</footer></body>")
+    assert want.startswith("Name Some") and not re.search("Menu|Side|comment|Foot", want) and want.count("goes on") == 18
+    for opened, closed in (('<div class="layout no-sidebar">', "</div>"), ('<div id="page" class="has-menu">', "</div>"),
+                           ('<div class="widget-area content">', "</div>"), ("<form action=/>", "</form>"),
+                           ('<div class="skip"><form><div role="alert">', "</div></form></div>"), ("<main hidden>", "</main>")):
+        for inner in ("div", "article"):
+            body = f"{menu}<{inner}>{text}</{inner}>{side}<footer>Foot</footer>"
+            assert maintext.main_text(f"<body>{opened}{body}{closed}</body>") == want
+            body = f"{menu}{opened}<{inner}>{text}</{inner}>{closed}{side}<footer>Foot</footer>"
+            assert maintext.main_text(f"<body>{body}</body>") == want
+    # a block without blocks inside
+    assert maintext.main_text(f'<body>{menu}<div class="widget">Plain words, no paragraph.</div></body>') == "Plain words, no paragraph."
+    # long comments do not beat a shorter text, and marks inside it are left out
+    long = '<div class="comments">' + para * 5 + "</div>"
+    assert maintext.main_text(f"<body><div><h1>Name</h1>{para * 3}</div>{long}</body>") == want
+    assert maintext.main_text(f'<body><div><h1>Name</h1>{para * 3}<div class="ad">Buy</div></div></body>') == want
+
+
+@pytest.mark.parametrize("raw", ["<svg><path d=1>", "<math>", "<object data=x>", "<noscript>words", "<template>",
+                                 "<iframe src=x>", "<title>Words", "<svg/>", "<svg><svg></svg>words", "<head><title>x</title>"])
+def test_unclosed_raw_elements_end_at_the_next_block(raw):
+    para = "<p>" + "Some words of a longer text that goes on. " * 6 + "</p>"
+    want = maintext.main_text(f"<body><div>{para * 3}</div></body>")
+    for later in ("", "<svg></svg><title>x</title><iframe></iframe>"):
+        assert want and maintext.main_text(f"{raw}<body><div>{para * 3}</div>{later}</body>") == want
+        assert maintext.main_text(f"<body>{raw}<div>{para * 3}{later}</div></body>") == want
+    # nested and closed ones go as a whole
+    assert maintext.main_text(f"<body><div>{para * 3}<svg><svg></svg><div>words</div></svg></div></body>") == want

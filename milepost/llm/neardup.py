@@ -141,11 +141,16 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def _compare(rows: list[tuple]) -> pa.RecordBatch | None:
-    """Links of one group of (rep, copies, block, own block pair, grams): sums and a forest."""
+def _compare(rows: list[tuple], inner: bool) -> pa.RecordBatch | None:
+    """Links of one group of (rep, copies, block, grams): sums and a forest.
+
+    ``inner``: the pairs inside one block, else only those between two blocks.
+    """
     reps = np.array([r[0] for r in rows], dtype=np.int64)
     copies = np.array([r[1] for r in rows], dtype=np.int64)
     block = np.array([r[2] for r in rows])
+    if not inner and (block == block[0]).all():  # the other block is empty
+        return None
     sizes = np.array([len(r[3]) for r in rows], dtype=np.int64)
     m = len(rows)
     grams = np.concatenate([r[3] for r in rows])
@@ -162,7 +167,6 @@ def _compare(rows: list[tuple]) -> pa.RecordBatch | None:
     order = np.argsort(sizes, kind="stable")
     p, q = SIMILARITY
     links, parent = np.zeros(m, dtype=np.int64), list(range(m))
-    inner = (block == block[0]).all()
 
     def root(i):
         while parent[i] != i:
@@ -205,11 +209,11 @@ def _verify(batches):
         rep, copies, block = (batch.column(i).to_pylist() for i in (3, 4, 5))
         for i, name in enumerate(names):
             if name != group:
-                if len(held) > 1 and (out := _compare(held)) is not None:
+                if len(held) > 1 and (out := _compare(held, group[1] == group[2])) is not None:
                     yield out
                 group, held = name, []
             held.append((rep[i], copies[i], block[i], np.frombuffer(batch.column(6)[i].as_buffer(), "<u8")))
-    if len(held) > 1 and (out := _compare(held)) is not None:
+    if len(held) > 1 and (out := _compare(held, group[1] == group[2])) is not None:
         yield out
 
 

@@ -201,6 +201,16 @@ def test_near_duplicates_lose_no_link(spark, monkeypatch):
         assert got == expected
 
 
+@pytest.mark.parametrize("block", [73, 35])
+def test_blocks_without_documents_count_no_link_again(spark, monkeypatch, block):
+    base = [f"w{i}" for i in range(100)]
+    rows = [(j, " ".join(base[:50 + j] + ["new"] + base[50 + j:]), "en", 1, 0) for j in range(6)]
+    rows.append((10, rows[0][1], "en", 1, 0))
+    monkeypatch.setattr(neardup, "BLOCK_NGRAMS", block)  # 8 and 17 blocks of the 6 sets
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in neardup.near_duplicates(cases.documents(spark, rows)).collect())
+    assert got == plain_links([(r[0], r[1]) for r in rows])
+
+
 def test_one_of_each_class_stays(spark):
     rows = near_copies()
     docs = cases.documents(spark, rows)

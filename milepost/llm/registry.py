@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, licenses, lmscore, maintext, neardup, quality, sharding, toxicity
+from . import bpe, decontam, langid, licenses, lmscore, maintext, neardup, quality, resample, sharding, toxicity
 
 
 def queries() -> dict:
@@ -15,7 +15,8 @@ def queries() -> dict:
             "op7_size_shards": sharding.op7_size_shards,
             "op8_risk_rules": quality.op8_risk_rules,
             "op9_text_density": maintext.op9_text_density,
-            "op10_ngram_join": neardup.op10_ngram_join}
+            "op10_ngram_join": neardup.op10_ngram_join,
+            "op12_importance_resampling": resample.op12_importance_resampling}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, langid, licenses, lmscore, maintext, neardup, quality, resample, sharding, toxicity
+from . import (bpe, chatfmt, decontam, langid, licenses, lmscore, maintext, neardup, quality,
+               resample, sharding, toxicity)
 
 
 def queries() -> dict:
@@ -16,8 +17,9 @@ def queries() -> dict:
             "op8_risk_rules": quality.op8_risk_rules,
             "op9_text_density": maintext.op9_text_density,
             "op10_ngram_join": neardup.op10_ngram_join,
-            "op12_importance_resampling": resample.op12_importance_resampling}
+            "op12_importance_resampling": resample.op12_importance_resampling,
+            "op13_chat_format": chatfmt.op13_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_chat_format": chatfmt.OP13_SQL}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (bpe, chatfmt, decontam, langid, licenses, lmscore, maintext, neardup, quality,
-               resample, sharding, toxicity)
+               repair, resample, sharding, toxicity)
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
             "op8_risk_rules": quality.op8_risk_rules,
             "op9_text_density": maintext.op9_text_density,
             "op10_ngram_join": neardup.op10_ngram_join,
+            "op11_conversation_repair": repair.op11_conversation_repair,
             "op12_importance_resampling": resample.op12_importance_resampling,
             "op13_chat_format": chatfmt.op13_chat_format}
 

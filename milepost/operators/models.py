@@ -1,22 +1,30 @@
-"""Per-gap predictors (P1-P4): mean fallback or a fitted ``pyspark.ml`` pipeline.
+"""Per-gap predictors (P1-P4): mean fallback, a tree ensemble or a linear model.
 
 A predictor turns a DataFrame with the base features and prior-gap columns into
-one prediction column. Everything it holds is model-sized (a handful of numbers
-or a ``PipelineModel``), never data-sized.
+one prediction column, by JVM expressions alone. Everything it holds is model-sized
+(statistics, medians, a node table or weights), never data-sized.
+
+A set of predictors is stored as a version folder that is written whole and then
+published by a pointer (S6), so a reader (S7) gets one version or another, never a mix.
 """
 
 from __future__ import annotations
 
+import datetime as _dt
 import json
 import os
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import (DEFAULT_GAP_MAX, DEFAULT_GAP_MEAN, DEFAULT_GAP_MIN, GAPS)
 from ..functions.columns import clamp_round
+from ..sources.tables import latest_run, path_exists, publish
+from .ridge import Linear
+from .trees import NODE_SCHEMA, Ensemble
 
 
 def _num(v, default):
@@ -39,7 +47,7 @@ class GapPredictor:
     n: int = 0
     features: list[str] = field(default_factory=list)
     medians: dict[str, float] = field(default_factory=dict)
-    model: PipelineModel | None = None
+    model: Ensemble | Linear | None = None
 
     # P2 / P3 / P4 defaults for missing statistics
     @property
@@ -67,37 +75,35 @@ class GapPredictor:
         if self.model is None:
             # The mean itself, neither rounded nor clamped
             return df.withColumn(out, F.lit(self.mean_or_default))
-        tmp = {p: f"__prior_{p}" for p in priors}
-        d = df.select("*", *[F.coalesce(c, F.lit(self.mean_or_default)).cast("double")
-                             .alias(tmp[p]) for p, c in priors.items()])
-        # feature frame under the model's own column names (medians fill the rest, M2)
-        base = [f for f in self.features if f not in priors]
-        feats = [F.coalesce(F.col(f).cast("double"), F.lit(self.medians.get(f))).alias(f"__f_{f}")
-                 for f in base]
-        feats += [F.coalesce(F.col(tmp[p]), F.lit(self.medians.get(p))).alias(f"__f_{p}")
-                  for p in priors if p in self.features]
-        d = d.select("*", *feats)
-        pred = self.model.transform(d)
-        return (pred.withColumn(out, clamp_round(F.col("__prediction"), F.lit(self.lo),
-                                                 F.lit(self.hi)))
-                .drop("__prediction", "__features", "__scaled",
-                      *[f"__f_{f}" for f in self.features], *tmp.values()))
+        raw = self.raw({**{f: F.col(f) for f in self.features if f not in priors},
+                        **{p: F.coalesce(c, F.lit(self.mean_or_default)) for p, c in priors.items()}})
+        return df.withColumn(out, clamp_round(raw, F.lit(self.lo), F.lit(self.hi)))
+
+    def raw(self, values: dict[str, Column]) -> Column:
+        """The model's own output; a feature that is missing takes its training median (M2)."""
+        return self.model.column(F.array(*[
+            F.coalesce(values[f].cast("double"), F.lit(float(self.medians[f]))) for f in self.features]))
 
     # -- persistence (S6 / S7) ---------------------------------------------
     def meta(self) -> dict:
-        return {"gap": self.gap, "kind": self.kind, "mean": self.mean, "min": self.min,
-                "max": self.max, "n": self.n, "features": self.features,
-                "medians": self.medians}
-
-    def save(self, path: str) -> None:
-        if self.model is not None:
-            self.model.write().overwrite().save(os.path.join(path, self.gap))
-
+        out = {"gap": self.gap, "kind": self.kind, "mean": self.mean, "min": self.min,
+               "max": self.max, "n": self.n, "features": self.features,
+               "medians": self.medians}
+        if isinstance(self.model, Linear):
+            out |= {"weights": self.model.weights, "intercept": self.model.intercept}
+        elif self.model is not None:
+            out |= {"base": self.model.base, "scale": self.model.scale}
+        return out
 
-def folder_exists(spark, path: str) -> bool:
-    """Whether ``path`` exists on its (Hadoop) file system; a failing file system raises."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    @classmethod
+    def from_meta(cls, m: dict, nodes: list[tuple]) -> GapPredictor:
+        model = None
+        if "weights" in m:
+            model = Linear(m["weights"], m["intercept"])
+        elif "scale" in m:
+            model = Ensemble(nodes, m["base"], m["scale"])
+        return cls(gap=m["gap"], kind=m["kind"], mean=m["mean"], min=m["min"], max=m["max"],
+                   n=m["n"], features=m["features"], medians=m["medians"], model=model)
 
 
 # tables saved next to the predictors (S6): durations, label codes, scores, gap statistics
@@ -118,6 +124,7 @@ class ModelSet:
         self.division_codes = division_codes
         self.scores = scores
         self.with_objections = with_objections
+        self.version: str | None = None  # of a stored set
 
     def __getitem__(self, k: int) -> GapPredictor:
         return self.predictors[k]
@@ -138,36 +145,52 @@ class ModelSet:
                                       n=int(r["n"]) if r else 0))
         return cls(preds, **tables)
 
-    # Predictors (pipelines + json metadata) and tables as parquet
-    def save(self, path: str) -> None:
+    # Predictors (node tables + json metadata) and tables as parquet
+    def save(self, path: str, version: str | None = None,
+             extra: Callable[[str], None] | None = None) -> str:
+        """Write a version folder under ``path``, publish it and return its folder.
+
+        ``extra`` may write further files (the report) into the folder before it is published.
+        """
         from pyspark.sql import SparkSession
         spark = SparkSession.getActiveSession()
-        for p in self.predictors:
-            p.save(os.path.join(path, "pipelines"))
+        version = version or f"{_dt.datetime.now():%Y%m%d_%H%M%S}_{uuid.uuid4().hex[:8]}"
+        folder = f"{path.rstrip('/')}/run={version}"
+        nodes = [(p.gap, *n) for p in self.predictors if isinstance(p.model, Ensemble)
+                 for n in p.model.nodes]
+        spark.createDataFrame(nodes, f"gap string, {NODE_SCHEMA}").write.mode("overwrite") \
+            .parquet(os.path.join(folder, "nodes"))
         for name in TABLES:
             df = getattr(self, name)
             if df is not None:
-                df.write.mode("overwrite").parquet(os.path.join(path, name))
+                df.write.mode("overwrite").parquet(os.path.join(folder, name))
         meta = {"with_objections": self.with_objections,
                 "predictors": [p.meta() for p in self.predictors]}
         # written through Spark so the path may live on any Hadoop file system
         spark.createDataFrame([(json.dumps(meta),)], "meta string") \
-            .coalesce(1).write.mode("overwrite").text(os.path.join(path, "meta"))
+            .coalesce(1).write.mode("overwrite").text(os.path.join(folder, "meta"))
+        if extra is not None:
+            extra(folder)
+        publish(spark, path, version)
+        self.version = version
+        return folder
 
     # S7
     @classmethod
-    def load(cls, spark, path: str) -> ModelSet:
-        meta = json.loads(spark.read.text(os.path.join(path, "meta")).first()[0])
-        preds = []
-        for m in meta["predictors"]:
-            model = None
-            if m["kind"] != "mean_fallback":
-                model = PipelineModel.load(os.path.join(path, "pipelines", m["gap"]))
-            preds.append(GapPredictor(gap=m["gap"], kind=m["kind"], mean=m["mean"], min=m["min"],
-                                      max=m["max"], n=m["n"], features=m["features"],
-                                      medians=m["medians"], model=model))
+    def load(cls, spark, path: str, version: str | None = None) -> ModelSet:
+        """The published set, or the given version of it; ``version`` says which one it is."""
+        folder = f"{path.rstrip('/')}/run={version}" if version else latest_run(spark, path)
+        if folder is None:
+            raise FileNotFoundError(f"no model set is published under {path}")
+        meta = json.loads(spark.read.text(os.path.join(folder, "meta")).first()[0])
+        nodes: dict[str, list[tuple]] = {}
+        for r in spark.read.parquet(os.path.join(folder, "nodes")).collect():  # model-sized
+            nodes.setdefault(r[0], []).append(tuple(r)[1:])
+        preds = [GapPredictor.from_meta(m, nodes.get(m["gap"], [])) for m in meta["predictors"]]
         tables = {}
         for name in TABLES:
-            at = os.path.join(path, name)
-            tables[name] = spark.read.parquet(at) if folder_exists(spark, at) else None
-        return cls(preds, with_objections=meta["with_objections"], **tables)
+            at = os.path.join(folder, name)
+            tables[name] = spark.read.parquet(at) if path_exists(spark, at) else None
+        out = cls(preds, with_objections=meta["with_objections"], **tables)
+        out.version = folder.rsplit("run=", 1)[1]
+        return out

@@ -44,8 +44,8 @@ def train_job(spark: SparkSession, sources: dict[str, DataFrame], snapshot_root:
     scores = digitalization_scores(state_dim if state_dim is not None else default_state_dim(spark),
                                    records)
     models, report = fit_models(master, scores, preset, with_objections)
-    models.save(model_dir)
-    write_report(spark, master, models, report, os.path.join(model_dir, "report"))
+    models.save(model_dir, extra=lambda folder: write_report(
+        spark, master, models, report, os.path.join(folder, "report")))
     return report
 
 

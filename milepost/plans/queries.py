@@ -18,11 +18,12 @@ from ..operators import scoring as S
 from ..operators.digitalization import add_digitalization, digitalization_scores
 from ..operators.features import build_features, own_features, with_dates, with_gaps
 from ..operators.forecast import active_projects, forecast, with_current_stage
-from ..operators.models import ModelSet, folder_exists
+from ..operators.models import ModelSet
 from ..operators.snapshot import snapshot, snapshot_response
 from ..operators.stats import gap_stats, prior_medians, stage_durations, summary_stats
 from ..session import cut_lineage, keep_until_end, shared_dir
 from ..sources.fixtures import Fixtures
+from ..sources.tables import latest_run
 
 # request dates that do not parse fall back to this day (the service uses "today")
 AS_OF = _dt.date(2025, 1, 1)
@@ -129,8 +130,8 @@ class Ctx:
         folder and loaded (S7) afterwards, so a batch of requests reads no source table.
         """
         path = model_path(self, "mean")
-        if not folder_exists(self.spark, f"{path}/meta/_SUCCESS"):
-            self._mean_models().save(path)  # meta is written last
+        if latest_run(self.spark, path) is None:
+            self._mean_models().save(path)
         return ModelSet.load(self.spark, path)
 
     def _mean_models(self):
@@ -361,27 +362,28 @@ def learned_models(c: Ctx):
     from ..operators.training import train_all
     spark = c.spark
     path = model_path(c, "learned")
-    if not folder_exists(spark, f"{path}/report/_SUCCESS"):
+    if latest_run(spark, path) is None:
         rc, dc = c.codes
         feats = build_features(c.master, "train", rc, dc, c.scores, False)
         models, report = train_all(feats, rc, dc, c.scores)
-        models.save(path)
-        report.write.mode("overwrite").parquet(f"{path}/report")  # last: it marks the set whole
-    return ModelSet.load(spark, path), spark.read.parquet(f"{path}/report")
+        models.save(path, extra=lambda folder: report.write.parquet(f"{folder}/report"))
+    return ModelSet.load(spark, path), spark.read.parquet(f"{latest_run(spark, path)}/report")
+
+
+def _fold_count():
+    return F.greatest(F.least(F.lit(CV_MAX_FOLDS), F.floor(F.col("n") / CV_ROWS_PER_FOLD)), F.lit(1))
 
 
 def q_cv_folds(spark, sf_dir):
-    """Fold sizes of all gaps from one scan."""
-    from ..operators.training import fold_of
+    """M8: fold sizes of all gaps, from the folds that training deals out."""
+    from ..operators.training import with_folds
     c = Ctx(spark, sf_dir)
     long = (c.rows.select("project_id", *GAPS).unpivot("project_id", GAPS, "gap", "v")
             .where(F.col("v").isNotNull()))
     n = long.groupBy("gap").agg(F.count(F.lit(1)).alias("n"))
-    k = n.select("gap", F.greatest(F.least(F.lit(CV_MAX_FOLDS), F.floor(F.col("n") / CV_ROWS_PER_FOLD)),
-                                   F.lit(1)).cast("int").alias("k"))
-    return (long.join(F.broadcast(k), "gap")  # six rows
-            .groupBy("gap", "k", fold_of(F.col("k")).alias("fold"))
-            .agg(F.count(F.lit(1)).alias("n_rows")))
+    k = cut_lineage(n.select("gap", _fold_count().cast("int").alias("k")))  # six rows
+    dealt = with_folds(long.join(F.broadcast(k), "gap"), F.col("k"), ["gap"])
+    return dealt.groupBy("gap", "k", "fold").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def q_training_set_medians(spark, sf_dir):
@@ -390,15 +392,27 @@ def q_training_set_medians(spark, sf_dir):
     return _round(training_set_medians(c.features(c.master, "train")), ["median"])
 
 
-def q_scaled_features(spark, sf_dir):
-    """M1-M3 of the first gap: its training rows imputed and scaled."""
-    from ..operators.training import medians_by_gap, scaled_features, training_set
-    c = Ctx(spark, sf_dir)
+def _samples(c: Ctx):
+    """M1 / M2: every gap's imputed training rows and the feature names by gap."""
+    from ..operators.training import features_of, medians_by_gap, training_samples
     rows = c.features(c.master, "train").select("project_id", *BASE_FEATURES, *GAPS)
-    frame, feats = training_set(rows, 0, medians_by_gap(rows, gaps=GAPS[:1])[GAPS[0]])
-    z = scaled_features(frame, feats)
+    rows = cut_lineage(rows)
+    medians = medians_by_gap(rows)
+    return training_samples(rows, medians), {g: features_of(g, m) for g, m in medians.items()}, medians
+
+
+def q_scaled_features(spark, sf_dir):
+    """M1-M3 of all six gaps: (gap, project_id, feature, value) of the imputed and scaled rows."""
+    from ..operators.training import scaled_samples
+    samples, names, _ = _samples(Ctx(spark, sf_dir))
+    label = F.create_map(*[F.lit(x) for i, g in enumerate(GAPS) for x in (i, g)])
+    feature = F.create_map(*[y for i, g in enumerate(GAPS)
+                             for y in (F.lit(i), F.array(*[F.lit(f) for f in names[g]]))])
+    z = scaled_samples(samples).select("gap", "project_id", F.posexplode("x").alias("i", "v"))
     # + 0.0: a negative zero is zero
-    return z.select("project_id", *[(F.round(f, 4) + F.lit(0.0)).alias(f) for f in feats])
+    return z.select(label[F.col("gap")].alias("gap"), "project_id",
+                    F.get(feature[F.col("gap")], F.col("i")).alias("feature"),
+                    (F.round("v", 4) + F.lit(0.0)).alias("value"))
 
 
 def q_gap_model_report(spark, sf_dir):

@@ -54,16 +54,17 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """Write ``df`` once as parquet under the shared folder and read it back.
 
     The lineage runs exactly once (a reliable RDD checkpoint of an uncached plan
     runs it twice), the written table survives the loss of any executor, and the
     re-read plan carries real file sizes, so the planner's broadcast decisions see
     the true size of small tables. ``drop_tables`` deletes the folders; what is
-    left is deleted when the driver ends.
+    left is deleted when the driver ends. ``spark`` names another session of the same
+    application that shall own the table.
     """
-    spark = df.sparkSession
+    spark = spark or df.sparkSession
     path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     _written[path] = spark
     df.write.mode("overwrite").parquet(path)

@@ -65,7 +65,7 @@ def list_runs(spark: SparkSession, root: str) -> list[str]:
     return [f"{root.rstrip('/')}/{n}" for n in runs]
 
 
-def _publish(spark: SparkSession, root: str, run: str) -> None:
+def publish(spark: SparkSession, root: str, run: str) -> None:
     """Make ``run`` the latest: write its name beside the pointer and rename over it."""
     jvm, r = spark.sparkContext._jvm, root.rstrip("/")
     fs, pointer = _fs(spark, f"{r}/{POINTER}")
@@ -94,7 +94,7 @@ def write_snapshot(df: DataFrame, root: str, run: str | None = None) -> str:
     run = run or _dt.datetime.now().strftime("%Y%m%d_%H%M%S")
     path = f"{root.rstrip('/')}/run={run}"
     df.write.mode("overwrite").parquet(path)
-    _publish(df.sparkSession, root, run)
+    publish(df.sparkSession, root, run)
     return path
 
 

@@ -68,7 +68,7 @@ def test_train_forecast_snapshot_jobs(spark):
                             state_dim=fx["state_dim"], records=fx["digitalization_records"])
     rep = {r["gap"]: r for r in report.collect()}
     assert len(rep) == 6 and all(r["n"] > 0 for r in rep.values())
-    doc = json.loads(spark.read.text(f"{work}/models/report").first()[0])
+    doc = json.loads(spark.read.text(f"{latest_run(spark, f'{work}/models')}/report").first()[0])
     assert len(doc["trained_on"]) == len("31-12-2025 00:00:00")
     assert doc["dataset_rows"] == read_snapshot(spark, f"{work}/master").count()
     assert set(doc["stage_durations"]) == {"7A", "20A", "20E", "20F", "20H", "Mutation"}

@@ -9,25 +9,144 @@ from pyspark.sql import functions as F
 
 from milepost.constants import GAPS, STAGE_COLS
 from milepost.operators.snapshot import snapshot
-from milepost.operators.training import _fit, n_folds, train_gap, with_folds
+from milepost.operators.training import n_folds, train_gap, with_folds
 
 
-def test_ridge_matches_closed_form(spark, small_training):
-    rng = np.random.default_rng(7)
-    n, p, alpha = 300, 4, 10.0
-    X = rng.normal(size=(n, p)) * [1.0, 3.0, 0.5, 10.0] + [0, 5, -2, 1]
-    y = X @ [2.0, -1.0, 0.5, 0.1] + rng.normal(size=n) * 2 + 7
-    rows = [tuple(float(v) for v in X[i]) + (float(y[i]),) for i in range(n)]
-    feats = [f"x{j}" for j in range(p)]
-    df = spark.createDataFrame(rows, ", ".join(f"__f_{f} double" for f in feats) + ", label double")
-    model = _fit("Ridge", feats, small_training, df)
-    got = np.array([r["__prediction"] for r in model.transform(df).select("__prediction").collect()])
-    # closed form on population-standardised features, unpenalised intercept
+def _ridge_closed_form(X, y, alpha):
+    """Weights and intercept on population-standardised features, unpenalised intercept."""
     mu, sd = X.mean(axis=0), X.std(axis=0)
     Z = (X - mu) / sd
-    w = np.linalg.solve(Z.T @ Z + alpha * np.eye(p), Z.T @ (y - y.mean()))
-    want = Z @ w + y.mean()
-    assert np.max(np.abs(got - want)) < 1e-6
+    w = np.linalg.solve(Z.T @ Z + alpha * np.eye(X.shape[1]), Z.T @ (y - y.mean())) / sd
+    return w, y.mean() - w @ mu
+
+
+def _r2(y, p):
+    return 1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum()
+
+
+def test_ridge_cv_matches_closed_form(spark):
+    from milepost.operators.ridge import ridge_cv
+    rng = np.random.default_rng(7)
+    alpha, rows, want = 10.0, [], {}
+    for gap, (n, p) in enumerate(((300, 4), (90, 3))):
+        X = rng.normal(size=(n, p)) * ([1.0, 3.0, 0.5, 10.0][:p]) + [0, 5, -2000, 1][:p]
+        y = X @ [2.0, -1.0, 0.5, 0.1][:p] + rng.normal(size=n) * 2 + 1e6
+        fold = np.arange(n) % 5
+        rows += [(gap, int(f), float(v), [float(a) for a in x]) for x, v, f in zip(X, y, fold)]
+        scores = {}
+        for f in range(5):
+            w, b = _ridge_closed_form(X[fold != f], y[fold != f], alpha)
+            scores[f] = _r2(y[fold == f], X[fold == f] @ w + b)
+        want[gap] = scores, _ridge_closed_form(X, y, alpha)
+    df = spark.createDataFrame(rows, "gap int, fold int, y double, x array<double>").repartition(3)
+    got = ridge_cv(df, {0: [0.0, 5.0, -2000.0, 1.0, 1e6], 1: [0.0, 5.0, -2000.0, 1e6]}, alpha)
+    for gap, (scores, (w, b)) in want.items():
+        assert got[gap].scores == pytest.approx(scores, abs=1e-9)
+        assert got[gap].model.weights == pytest.approx(list(w), rel=1e-9, abs=1e-12)
+        assert got[gap].model.intercept == pytest.approx(b, rel=1e-9)
+
+
+def test_ridge_ignores_a_constant_feature(spark):
+    from milepost.operators.ridge import ridge_cv
+    rows = [(0, i % 2, 2.0 * i, [float(i), 7.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "gap int, fold int, y double, x array<double>")
+    got = ridge_cv(df, {0: [20.0, 7.0, 40.0]}, 10.0)[0]
+    assert got.model.weights[1] == 0.0 and all(s > 0.5 for s in got.scores.values())
+
+
+def _samples(spark, n=1500, gaps=2, seed=3):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for g in range(gaps):
+        X = rng.normal(size=(n, 6 + g))
+        X[:, 3] = rng.integers(0, 5, n)
+        y = 50 + 10 * X[:, 0] + 5 * np.sin(3 * X[:, 1]) + 4 * (X[:, 3] > 2) * X[:, 4] + rng.normal(size=n) * 4
+        rows += [(g, i, i % 3, float(y[i]), [float(v) for v in X[i]]) for i in range(n)]
+    return spark.createDataFrame(rows, "gap int, row bigint, fold int, y double, x array<double>")
+
+
+def test_boosting_passes_agree(spark):
+    """Level passes, in-memory subtrees and any partitioning grow the same trees."""
+    from milepost.operators.boosting import Boost, boost
+    df, folds, how = _samples(spark, 600), {0: 3, 1: 3}, Boost(rounds=12, depth=3)
+    whole = boost(df, folds, how)
+    level = boost(df.repartition(5), folds, how, small_node=0)
+    mixed = boost(df.repartition(2), folds, how, small_node=150)
+    for g in folds:
+        assert whole.ensembles[g].nodes == level.ensembles[g].nodes == mixed.ensembles[g].nodes
+    key = ["gap", "fold", "model", "y"]
+    a, b = (f.predictions.toPandas().sort_values(key).pred.to_numpy() for f in (whole, level))
+    assert np.allclose(a, b, atol=1e-9)
+    # the running predictions are those of the node table
+    e = whole.ensembles[1]
+    table = df.where("gap = 1").select("y", e.column(F.col("x")).alias("p")).toPandas().sort_values("y")
+    own = whole.predictions.where("gap = 1 and model = 3").toPandas().sort_values("y")
+    assert np.allclose(table.p, own.pred, atol=1e-9)
+    x = df.where("gap = 1").first()
+    assert e.predict_one(x.x) == pytest.approx(table.p[table.y == x.y].iloc[0])
+
+
+def test_boosting_scores_as_spark_ml(spark):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import GBTRegressor
+
+    from milepost.operators.boosting import Boost, boost
+    df, rounds = _samples(spark, 1500, 1), 60
+    own = boost(df, {0: 3}, Boost(rounds=rounds)).predictions.where("model = fold").toPandas()
+    data = df.select("fold", "y", array_to_vector("x").alias("v")).coalesce(1).cache()
+    ours, theirs = [], []
+    for f in range(3):
+        part = own[own.fold == f]
+        ours.append(_r2(part.y.to_numpy(), part.pred.to_numpy()))
+        m = GBTRegressor(featuresCol="v", labelCol="y", maxIter=rounds, stepSize=0.05, maxDepth=4,
+                         minInstancesPerNode=5, subsamplingRate=0.8, seed=42).fit(data.where(F.col("fold") != f))
+        p = m.transform(data.where(F.col("fold") == f)).toPandas()
+        theirs.append(_r2(p.y.to_numpy(), p.prediction.to_numpy()))
+    assert np.mean(ours) > np.mean(theirs) - 0.02 and np.mean(ours) > 0.6
+
+
+def test_best_split_by_brute_force():
+    from milepost.operators.boosting import BINS, _level_hist, best_splits
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 6, size=(80, 3)).astype(np.uint8)
+    r = np.round(rng.normal(size=80) + (x[:, 1] > 2), 3)
+    best, cuts = -1.0, None
+    for f in range(3):
+        for c in range(BINS - 1):
+            left = x[:, f] <= c
+            if min(left.sum(), (~left).sum()) >= 5:
+                gain = sum(r[s].sum() ** 2 / s.sum() for s in (left, ~left)) - r.sum() ** 2 / len(r)
+                if gain > best + 1e-9:
+                    best, cuts = gain, (f, c)
+    got = best_splits(_level_hist(x, np.zeros(80, np.int64), r, 1), 5)[0]
+    assert (got["feature"], got["cut"]) == cuts
+    assert got["left"] == pytest.approx(r[x[:, cuts[0]] <= cuts[1]].mean())
+
+
+def test_forest_nodes_predict_as_the_forest(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    from milepost.operators.training import _forest, forest_nodes
+    data = _samples(spark, 400, 1).select("x", "y", array_to_vector("x").alias("v")).cache()
+    model = _forest(dict(numTrees=7, maxDepth=4, minInstancesPerNode=5, featureSubsetStrategy="sqrt", seed=42), data)
+    e = forest_nodes(model)
+    got = model.transform(data).select("pred", e.column(F.col("x")).alias("p")).toPandas()
+    assert np.allclose(got.pred, got.p, atol=1e-9) and e.depth() <= 4
+
+
+def test_metrics_match_their_definition(spark):
+    from milepost.operators.metrics import regression_metrics
+    rng = np.random.default_rng(6)
+    rows = [(int(g), 1e9 + float(a), 1e9 + float(a + e)) for g, a, e in zip(
+        rng.integers(0, 3, 400), rng.normal(size=400), rng.normal(size=400) / 3)]
+    rows += [(7, 1.0, 2.0), (8, 4.0, 4.0), (8, 4.0, 4.0), (9, 4.0, 5.0), (9, 4.0, 4.0), (0, None, 1.0), (0, 1.0, None)]
+    got = {r.g: r for r in regression_metrics(
+        spark.createDataFrame(rows, "g int, y double, pred double"), ["g"]).collect()}
+    for g in range(3):
+        y, p = (np.array([r[i] for r in rows if r[0] == g and None not in r]) for i in (1, 2))
+        assert got[g].n == len(y) and got[g].mae == pytest.approx(np.abs(y - p).mean(), rel=1e-9)
+        assert got[g].r2 == pytest.approx(_r2(y, p), rel=1e-6)
+    assert got[7].r2 is None and got[8].r2 == 1.0 and got[9].r2 == 0.0
 
 
 def test_snapshot_matches_brute_force(spark):
@@ -58,12 +177,29 @@ def test_snapshot_matches_brute_force(spark):
         assert seq == sorted(seq)
 
 
-def test_folds_cover_rows(spark):
-    df = spark.range(0, 537).withColumnRenamed("id", "project_id")
-    k = n_folds(537)
-    f = with_folds(df, k).groupBy("fold").count().collect()
-    assert k == 5 and sorted(r["fold"] for r in f) == list(range(5))
-    assert sum(r["count"] for r in f) == 537
+def test_folds_are_equal(spark):
+    rows = [(g, i // 3) for g, n in ((0, 537), (1, 41)) for i in range(n)]  # projects repeat
+    df = spark.createDataFrame(rows, "gap int, project_id long").repartition(3)
+    k = F.when(F.col("gap") == 0, 5).otherwise(4)
+    got = {(r.gap, r.fold): r["count"] for r in with_folds(df, k, ["gap"]).groupBy("gap", "fold").count().collect()}
+    assert n_folds(537) == 5 and n_folds(41) == 4
+    assert sorted(got[0, f] for f in range(5)) == [107, 107, 107, 108, 108]
+    assert sorted(got[1, f] for f in range(4)) == [10, 10, 10, 11]
+
+
+def test_rank_is_exact(spark):
+    from milepost.functions.ranking import with_rank
+    rng = random.Random(8)
+    rows = [(rng.choice([None, "a", "b"]), rng.choice([None, 1, 2, 3, 4, 5])) for _ in range(500)]
+    df = spark.createDataFrame(rows, "g string, v int").repartition(7)
+    got = with_rank(df, ["v"], ["g"], size="n").collect()
+    for g in (None, "a", "b"):
+        mine = sorted((r["rank"], r.v is not None, r.v or 0, r.n) for r in got if r.g == g)
+        assert [m[0] for m in mine] == list(range(len(mine))) and {m[3] for m in mine} == {len(mine)}
+        assert [m[1:3] for m in mine] == sorted(m[1:3] for m in mine)
+    every = with_rank(df, ["g", "v"]).collect()
+    assert sorted(r["rank"] for r in every) == list(range(500))
+    assert with_rank(df.limit(0), ["v"], ["g"]).count() == 0
 
 
 def test_too_few_rows_keep_mean(spark):
@@ -139,16 +275,6 @@ def test_folds_take_the_seed(spark):
     assert a != b and set(a.values()) == set(b.values()) == set(range(5))
 
 
-def test_empty_folds_do_not_count(spark, small_training):
-    from milepost.operators.training import cv_scores
-    df = spark.createDataFrame([(float(i), 2.0 * i, i % 2) for i in range(40)],
-                               "__f_x double, label double, fold int")
-    assert cv_scores(["Ridge"], ["x"], small_training, df, 5)["Ridge"] > 0.5
-    one = df.withColumn("fold", F.lit(0))
-    assert cv_scores(["Ridge"], ["x"], small_training, one, 5)["Ridge"] != cv_scores(
-        ["Ridge"], ["x"], small_training, df, 5)["Ridge"]
-
-
 def test_snapshot_from_stored_counts_equals_direct(spark, tmp_path):
     from milepost.operators.snapshot import snapshot_from_counts, stage_day_counts
     base = dt.date(2021, 1, 1)
@@ -197,12 +323,3 @@ def test_learned_forecast_never_goes_back(spark):
                 d = r[STAGE_COLS[k]]
                 assert d >= prev
                 prev = d
-
-
-def test_ridge_param_from_sums_equals_aggregate(spark):
-    from milepost.operators.training import _ridge_param_from_sums, ridge_reg_param
-    ys = [3.0, 7.5, 1.25, 9.0, 4.0, 4.0, 12.5]
-    df = spark.createDataFrame([(y,) for y in ys], "label double")
-    a = ridge_reg_param(df, 10.0)
-    b = _ridge_param_from_sums(len(ys), sum(ys), sum(y * y for y in ys), 10.0)
-    assert b == pytest.approx(a, rel=1e-12)

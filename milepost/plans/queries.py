@@ -18,11 +18,13 @@ from ..operators import scoring as S
 from ..operators.digitalization import add_digitalization, digitalization_scores
 from ..operators.features import build_features, own_features, with_dates, with_gaps
 from ..operators.forecast import active_projects, forecast, with_current_stage
-from ..operators.models import ModelSet
+from ..operators.models import GapPredictor, ModelSet
 from ..operators.snapshot import snapshot, snapshot_response
 from ..operators.stats import gap_stats, prior_medians, stage_durations, summary_stats
 from ..session import cut_lineage, keep_until_end, shared_dir
-from ..sources.fixtures import Fixtures
+from ..operators.trees import Ensemble
+from ..sources.fixtures import (FIXED_BASE, FIXED_MEDIAN, FIXED_SCALE, Fixtures, fixed_features,
+                                fixed_nodes)
 from ..sources.tables import latest_run
 
 # request dates that do not parse fall back to this day (the service uses "today")
@@ -415,6 +417,73 @@ def q_scaled_features(spark, sf_dir):
                     (F.round("v", 4) + F.lit(0.0)).alias("value"))
 
 
+RIDGE_FOLDS = 5
+
+
+def q_ridge_cv(spark, sf_dir):
+    """M6 / M9 from Gram sums: (gap, term, value) of every gap's ridge on all rows, with the mean
+    held-out R^2 over the folds project_id mod 5."""
+    from ..constants import RIDGE_ALPHA
+    from ..operators.ridge import ridge_cv
+    samples, names, medians = _samples(Ctx(spark, sf_dir))
+    samples = cut_lineage(samples.withColumn("fold", F.pmod("project_id", F.lit(RIDGE_FOLDS)).cast("int")))
+    means = {r.gap: r.m for r in samples.groupBy("gap").agg(F.avg("y").alias("m")).collect()}
+    shifts = {GAPS.index(g): [medians[g][f] for f in names[g]] + [means[GAPS.index(g)]]
+              for g in GAPS if GAPS.index(g) in means}
+    rows = []
+    for i, cv in ridge_cv(samples, shifts, RIDGE_ALPHA).items():
+        rows += [(GAPS[i], f, w) for f, w in zip(names[GAPS[i]], cv.model.weights)]
+        rows += [(GAPS[i], "(intercept)", cv.model.intercept),
+                 (GAPS[i], "(cv_r2)", sum(cv.scores.values()) / len(cv.scores))]
+    return _round(spark.createDataFrame(rows, "gap string, term string, value double"), ["value"])
+
+
+def q_model_metrics(spark, sf_dir):
+    """R^2 and MAE of stored predictions (the gap's mean, the gap before) in one
+    aggregate over the long table."""
+    from ..operators.metrics import regression_metrics
+    c = Ctx(spark, sf_dir)
+    means = {r["gap"]: r["mean"] for r in gap_stats(c.rows).collect()}     # six rows
+    items = [F.struct(F.lit(g).alias("gap"), F.lit(p).alias("predictor"), F.col(g).cast("double").alias("y"),
+                      v.cast("double").alias("pred"))
+             for i, g in enumerate(GAPS)
+             for p, v in (("mean", F.lit(means[g])), ("gap before", F.col(GAPS[i - 1]) if i else F.lit(30)))]
+    stored = cut_lineage(c.rows.select(F.inline(F.array(*items))))
+    out = regression_metrics(stored, ["gap", "predictor"])
+    return out.select("gap", "predictor", "n", (F.round("r2", 6) + F.lit(0.0)).alias("r2"),
+                      F.round("mae", 6).alias("mae"))
+
+
+def fixed_models(c: Ctx):
+    """The fixed ensembles with this data's statistics, stored (S6) and loaded again."""
+    path = model_path(c, "fixed")
+    if latest_run(c.spark, path) is None:
+        rc, dc = c.codes
+        stats = {r["gap"]: r for r in gap_stats(c.rows).collect()}         # six rows
+        preds = []
+        for k, g in enumerate(GAPS):
+            names = fixed_features(k)
+            preds.append(GapPredictor(
+                gap=g, kind="GradientBoosting", mean=stats[g]["mean"], min=stats[g]["min"],
+                max=stats[g]["max"], n=stats[g]["n"], features=names,
+                medians={f: FIXED_MEDIAN for f in names},
+                model=Ensemble(fixed_nodes(k), FIXED_BASE, FIXED_SCALE)))
+        ModelSet(preds, railway_codes=rc, division_codes=dc, scores=c.scores).save(path)
+    return ModelSet.load(c.spark, path)
+
+
+def q_forecast_trees(spark, sf_dir):
+    """P1, P2, P4, P9 with tree ensembles: the fixed node tables over every active project."""
+    c = Ctx(spark, sf_dir)
+    return forecast(c.master, fixed_models(c))
+
+
+def q_score_requests_trees(spark, sf_dir):
+    """P10 with tree ensembles: predicted gaps feed the later ones, priors start empty."""
+    c = Ctx(spark, sf_dir)
+    return S.predictions_long(S.score_requests(c.requests(), fixed_models(c)))
+
+
 def q_gap_model_report(spark, sf_dir):
     return learned_models(Ctx(spark, sf_dir))[1]
 
@@ -475,6 +544,10 @@ def queries() -> dict[str, Query]:
         "request_envelope": q_request_envelope,
         "request_decoding": q_request_decoding,
         "cv_folds": q_cv_folds,
+        "ridge_cv": q_ridge_cv,
+        "model_metrics": q_model_metrics,
+        "forecast_trees": q_forecast_trees,
+        "score_requests_trees": q_score_requests_trees,
         "gap_model_report": q_gap_model_report,
         "forecast_learned": q_forecast_learned,
         "snapshot_learned": q_snapshot_learned,

@@ -14,6 +14,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..constants import GAPS
+
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                  "events"]
 
@@ -96,6 +98,65 @@ SELECT n_nationkey + 1 AS state_code, CASE WHEN n_nationkey % 8 = 3 THEN NULL EL
  CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE CAST(n_nationkey AS DOUBLE) / 25 END AS fallback_score FROM {nation}""",
 }
 
+# A small hand-written ensemble per gap, the same on both engines: (feature, cut, left, right)
+# is a split, a number a leaf; "prior" stands for the gap before. Missing features take 42.
+FIXED_BASE, FIXED_SCALE, FIXED_MEDIAN = 5.0, 0.5, 42.0
+FIXED_TREES = [
+    ("government_land", 40.0, 60.0, ("court_case_count", 1.0, 100.0, ("primary_state", 12.0, 130.0, 171.0))),
+    ("prior", 63.5, ("forest_proportion", 0.1234, 21.0, 8.0), 55.0),
+    ("railway_enc", 9.0, 3.0, ("start_month", 6.0, ("digitalization_score", 0.5, 17.0, 2.5), 30.0)),
+]
+
+
+def fixed_features(k: int) -> list[str]:
+    """The features that gap k's fixed ensemble names, in order of appearance."""
+    found: list[str] = []
+
+    def visit(t):
+        if isinstance(t, tuple):
+            found.append(_fixed_name(t[0], k))
+            visit(t[2])
+            visit(t[3])
+    for t in FIXED_TREES:
+        visit(t)
+    return list(dict.fromkeys(found))
+
+
+def _fixed_name(feature: str, k: int) -> str:
+    if feature != "prior":
+        return feature
+    return GAPS[k - 1] if k else "private_land"
+
+
+def fixed_nodes(k: int) -> list[tuple]:
+    """Gap k's fixed ensemble as a node table (tree, node, feature, cut, left, right, value)."""
+    names, nodes = fixed_features(k), []
+
+    def add(tree: int, t) -> int:
+        mine = sum(n[0] == tree for n in nodes)
+        nodes.append(None)
+        at = len(nodes) - 1
+        nodes[at] = (tree, mine, 0, 0.0, mine, mine, 0.0)
+        if isinstance(t, tuple):
+            left, right = add(tree, t[2]), add(tree, t[3])
+            nodes[at] = (tree, mine, names.index(_fixed_name(t[0], k)), t[1], left, right, 0.0)
+        else:
+            nodes[at] = (tree, mine, 0, 0.0, mine, mine, t)
+        return mine
+    for i, t in enumerate(FIXED_TREES):
+        add(i, t)
+    return nodes
+
+
+def fixed_sql(k: int, value) -> str:
+    """Gap k's fixed ensemble as an SQL expression; ``value`` names a feature's SQL."""
+    def case(t) -> str:
+        if not isinstance(t, tuple):
+            return f"CAST({t} AS DOUBLE)"
+        return f"CASE WHEN {value(_fixed_name(t[0], k))} <= {t[1]} THEN {case(t[2])} ELSE {case(t[3])} END"
+    return f"({FIXED_BASE} + {FIXED_SCALE} * ({' + '.join(case(t) for t in FIXED_TREES)}))"
+
+
 # The eleven source tables of the master dataset.
 SOURCE_TABLES = ["AllocationWise", "project_basic", "notification_37A", "la_notification_master",
                  "three_A_master", "three_d_master", "nhai_award", "nhai_award_det",

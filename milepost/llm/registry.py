@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import (bpe, chatfmt, decontam, langid, licenses, lmscore, maintext, neardup, quality,
-               repair, resample, sharding, toxicity)
+               repair, resample, sharding, sql, toxicity)
 
 
 def queries() -> dict:
@@ -23,4 +23,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_chat_format": chatfmt.OP13_SQL}
+    return {"op11_conversation_repair": sql.OP11,
+            "op12_importance_resampling": sql.OP12,
+            "op13_chat_format": chatfmt.OP13_SQL}

@@ -63,13 +63,13 @@ def main(argv=None) -> int:
             print(json.dumps(row.asDict()))
     elif a.cmd == "forecast":
         jobs.forecast_job(spark, a.master, a.models, a.out)
-        print(json.dumps({"forecast": a.out, "counts": jobs.counts_path(a.out)}))
+        print(json.dumps({"forecast": a.out, "published": True}))
     elif a.cmd == "snapshot":
         from .operators.models import ModelSet
         from .plans.service import pipeline_snapshot
         texts = spark.createDataFrame([(d,) for d in a.dates], "target_date string")
         out = pipeline_snapshot(None, texts, ModelSet.load(spark, a.models),
-                                counts=spark.read.parquet(jobs.counts_path(a.forecast)))
+                                counts=jobs.stored_counts(spark, a.forecast))
         if a.out:
             out.write.mode("overwrite").json(a.out)
         else:

@@ -31,7 +31,7 @@ def gap_stats(df: DataFrame) -> DataFrame:
         F.min("value").alias("min"), F.max("value").alias("max"),
         F.count(F.lit(1)).alias("n"))
     keys = df.sparkSession.createDataFrame([(i, g) for i, g in enumerate(GAPS)], "gap_idx int, gap string")
-    return (F.broadcast(keys).join(agg, "gap", "left")
+    return (keys.join(agg, "gap", "left")
             .select("gap_idx", "gap", "mean", "std", "min", "max",
                     F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n")))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,8 @@ from ..operators.master import master_dataset
 from ..operators.models import ModelSet
 from ..operators.snapshot import snapshot_from_counts, stage_day_counts
 from ..operators.training import Preset, durations_report, train_all
-from ..sources.tables import read_snapshot, write_snapshot
+from ..sources.tables import latest_run, publish, read_snapshot, write_snapshot
+from .service import BAD_DATE
 
 
 def fit_models(master: DataFrame, scores: DataFrame, preset: Preset | None = None,
@@ -64,8 +66,37 @@ def write_report(spark, master: DataFrame, models: ModelSet, report: DataFrame,
         .write.mode("overwrite").text(path)
 
 
-def counts_path(forecast_path: str) -> str:
-    return forecast_path.rstrip("/") + "_stage_day_counts"
+def stored_forecast(spark: SparkSession, path: str) -> DataFrame:
+    """The published forecast under ``path``."""
+    return spark.read.parquet(f"{_published(spark, path)}/forecast")
+
+
+def stored_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The per-(stage, day) counts that were published with the forecast."""
+    return spark.read.parquet(f"{_published(spark, path)}/counts")
+
+
+def _published(spark: SparkSession, path: str) -> str:
+    folder = latest_run(spark, path)
+    if folder is None:
+        raise FileNotFoundError(f"no forecast is published under {path}")
+    return folder
+
+
+def publish_forecast(fc: DataFrame, path: str, counts: DataFrame | None = None) -> str:
+    """Write a forecast and its counts aside, then publish both at once.
+
+    ``counts``: maintained counts of the same forecast (``incremental.merged_counts``); counted
+    anew when not given.
+    """
+    spark = fc.sparkSession
+    run = f"{datetime.now():%Y%m%d_%H%M%S}_{uuid.uuid4().hex[:8]}"
+    folder = f"{path.rstrip('/')}/run={run}"
+    fc.write.parquet(f"{folder}/forecast")
+    counts = stage_day_counts(spark.read.parquet(f"{folder}/forecast")) if counts is None else counts
+    counts.write.parquet(f"{folder}/counts")
+    publish(spark, path, run)
+    return folder
 
 
 def forecast_job(spark: SparkSession, snapshot_root: str, model_dir: str, out_path: str,
@@ -74,13 +105,10 @@ def forecast_job(spark: SparkSession, snapshot_root: str, model_dir: str, out_pa
     per-(stage, day) counts; snapshots are answered from the counts."""
     master = read_snapshot(spark, snapshot_root, with_runs=False)
     models = ModelSet.load(spark, model_dir)
-    forecast(master, models).write.mode("overwrite").parquet(out_path)
-    stage_day_counts(spark.read.parquet(out_path)).write.mode("overwrite") \
-        .parquet(counts_path(out_path))
+    publish_forecast(forecast(master, models), out_path)
     if targets is None:
         return None
-    return snapshot_from_counts(spark.read.parquet(counts_path(out_path)), targets,
-                                models.durations)
+    return snapshot_from_counts(stored_counts(spark, out_path), targets, models.durations)
 
 
 def stage_snapshot(spark: SparkSession, forecast_path: str, model_dir: str,
@@ -89,8 +117,6 @@ def stage_snapshot(spark: SparkSession, forecast_path: str, model_dir: str,
     from ..operators.snapshot import parse_targets
     models = ModelSet.load(spark, model_dir)
     t = parse_targets(spark.createDataFrame([(x,) for x in target_texts], "target_date string"))
-    snap = snapshot_from_counts(spark.read.parquet(counts_path(forecast_path)), t,
-                                models.durations)
-    bad = t.where(F.col("target_date").isNull()).select(
-        F.col("target_input"), F.lit("Invalid date. Use DD-MM-YYYY").alias("error"))
+    snap = snapshot_from_counts(stored_counts(spark, forecast_path), t, models.durations)
+    bad = t.where(F.col("target_date").isNull()).select(F.col("target_input"), F.lit(BAD_DATE).alias("error"))
     return snap.unionByName(bad, allowMissingColumns=True)

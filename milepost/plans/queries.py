@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -484,6 +485,142 @@ def q_score_requests_trees(spark, sf_dir):
     return S.predictions_long(S.score_requests(c.requests(), fixed_models(c)))
 
 
+# -- refreshes, stores and faults ---------------------------------------------
+
+def _scratch(spark, kind: str) -> str:
+    """A fresh folder in the shared folder, deleted with the other tables."""
+    return keep_until_end(spark, f"{shared_dir(spark)}/{kind}/{uuid.uuid4().hex}")
+
+
+def _sources_before(src):
+    """Sources as they were before a day's changes, and the changed rows of each table."""
+    before, changes = dict(src), {}
+    pid = lambda m, r: F.pmod("project_id", F.lit(m)) == r
+    late = pid(50, 7)                                           # notifications that came later
+    before["notification_37A"] = src["notification_37A"].where(~late)
+    changes["notification_37A"] = src["notification_37A"].where(late)
+    edited = pid(50, 9)                                         # projects whose total was corrected
+    before["project_basic"] = src["project_basic"].withColumn(
+        "total_land", F.when(edited, F.col("total_land") + 1).otherwise(F.col("total_land")))
+    changes["project_basic"] = before["project_basic"].where(edited).unionByName(
+        src["project_basic"].where(edited))
+    added = F.pmod("case_id", F.lit(40)) == 3                   # case details that were added
+    before["court_case_details"] = src["court_case_details"].where(~added)
+    changes["court_case_details"] = src["court_case_details"].where(added)
+    paid = F.pmod("award_id", F.lit(40)) == 5                   # payments that were entered
+    before["nhai_award_det"] = src["nhai_award_det"].withColumn(
+        "payment_date", F.when(~paid, F.col("payment_date")))
+    changes["nhai_award_det"] = src["nhai_award_det"].where(paid)
+    gone = src["AllocationWise"].where(F.pmod("PROJECTID", F.lit(30)) == 4).withColumn("division", F.lit("OLD"))
+    before["AllocationWise"] = src["AllocationWise"].unionByName(gone)      # allocations that were deleted
+    changes["AllocationWise"] = gone
+    return before, changes
+
+
+def q_master_incremental(spark, sf_dir):
+    """The master as it was, refreshed by the changed rows only."""
+    from ..operators.incremental import read_master, refresh_master, write_master
+    src = Fixtures(spark, sf_dir).sources()
+    before, changes = _sources_before(src)
+    root = _scratch(spark, "master")
+    write_master(M.master_dataset(before), root)
+    refresh_master(src, changes, root)
+    return read_master(spark, root).withColumn("total_disputed_area", F.round("total_disputed_area", 6))
+
+
+def q_snapshot_maintained(spark, sf_dir):
+    """Snapshots from counts that two refreshes kept up by signed rows."""
+    from ..operators.incremental import count_deltas, merged_counts
+    from ..operators.snapshot import snapshot_from_counts, stage_day_counts
+    from .jobs import publish_forecast, stored_counts
+    c = Ctx(spark, sf_dir)
+    mm = c.mean_models()
+    edited, late = F.pmod("project_id", F.lit(9)) == 1, F.pmod("project_id", F.lit(13)) == 2
+    # before: some 7A dates were missing, and some projects had not come yet
+    was = c.master.where(~late).withColumn("date_7A", F.when(~edited, F.col("date_7A")))
+    path = _scratch(spark, "forecasts")
+    publish_forecast(forecast(was, mm), path)
+    first = merged_counts(stored_counts(spark, path), count_deltas(
+        forecast(was.where(edited), mm), forecast(c.master.where(edited & ~late), mm)))
+    publish_forecast(forecast(c.master.where(~late), mm), path, first)
+    nothing = forecast(was.limit(0), mm)
+    second = merged_counts(stored_counts(spark, path), count_deltas(nothing, forecast(c.master.where(late), mm)))
+    publish_forecast(forecast(c.master, mm), path, second)
+    return snapshot_from_counts(stored_counts(spark, path), _targets(c), mm.durations)
+
+
+def _merged_statistics(spark, sf_dir, kind: str):
+    from ..operators.incremental import combined_states, statistic_states
+    month = F.date_trunc("month", "date_37A").cast("date")
+    rows = Ctx(spark, sf_dir, store=False).rows.withColumn("part", month)
+    states = cut_lineage(statistic_states(rows, ["part"]))     # stored, a few rows a month
+    return combined_states(states).where(F.col("kind") == kind)
+
+
+def q_gap_stats_merged(spark, sf_dir):
+    """A1 / A6 from the stored states of every month."""
+    out = _merged_statistics(spark, sf_dir, "gap").select(
+        F.col("idx").alias("gap_idx"), F.col("name").alias("gap"), "mean", "std", "min", "max", "n")
+    return _round(out, ["mean", "std", "min", "max"])
+
+
+def q_stage_moments_merged(spark, sf_dir):
+    """A3 / A4 from the stored states of every month."""
+    cols = ["lognorm_mu", "lognorm_sigma", "min", "max", "mean", "std"]
+    out = _merged_statistics(spark, sf_dir, "stage").select(
+        F.col("idx").alias("stage_idx"), F.col("name").alias("stage"), *cols, "n")
+    return _round(out, cols)
+
+
+def q_master_round_trip(spark, sf_dir):
+    """The master written as a run, published and read back."""
+    from ..sources.tables import read_snapshot, write_snapshot
+    root = _scratch(spark, "snapshots")
+    write_snapshot(M.master_dataset(Fixtures(spark, sf_dir).sources()), root)
+    return read_snapshot(spark, root).withColumn("total_disputed_area", F.round("total_disputed_area", 6))
+
+
+def q_records_payload(spark, sf_dir):
+    """The scores from the published payload's JSON file."""
+    from ..operators.digitalization import PERCENT_FIELD, read_records
+    fx = Fixtures(spark, sf_dir)
+    record = F.struct("ord", "state_ut", F.col("pct_completed").alias(PERCENT_FIELD))
+    body = fx["digitalization_records"].agg(F.array_sort(F.collect_list(record)).alias("records"))  # a row a state
+    path = _scratch(spark, "payload")
+    body.select(F.to_json(F.struct("records")).alias("value")).write.text(path)
+    return _round(digitalization_scores(fx["state_dim"], read_records(spark, path)), ["score"])
+
+
+def q_digitalization_faults(spark, sf_dir):
+    """the last of repeated records counts; a malformed percentage turns all live scores off."""
+    fx = Fixtures(spark, sf_dir)
+    out = None
+    for case in ("repeated", "malformed"):
+        part = digitalization_scores(fx["state_dim"], fx[f"digitalization_{case}"]) \
+            .select(F.lit(case).alias("records"), "state_code", "score")
+        out = part if out is None else out.unionByName(part)
+    return _round(out, ["score"])
+
+
+def q_request_errors(spark, sf_dir):
+    """The error envelopes of faulty request bodies."""
+    c = Ctx(spark, sf_dir, store=False)
+    req = S.decode_requests(c.fx["request_bodies"], body_col="body", as_of=AS_OF)
+    out = S.envelope(S.score_requests(req, c.mean_models()))
+    return out.where(~F.col("success")).select("request_id", "success", "error", "response")
+
+
+def q_bad_target_dates(spark, sf_dir):
+    """The error envelopes of target dates that are no dates."""
+    from .service import pipeline_snapshot
+    c = Ctx(spark, sf_dir)
+    mm = c.mean_models()
+    texts = c.fx["project_dates_text"].select(F.col("date_37A").alias("target_date")).distinct()
+    return pipeline_snapshot(forecast(c.master, mm), texts, mm).where(~F.col("success"))
+
+
+# -- learned models -----------------------------------------------------------
+
 def q_gap_model_report(spark, sf_dir):
     return learned_models(Ctx(spark, sf_dir))[1]
 
@@ -548,6 +685,15 @@ def queries() -> dict[str, Query]:
         "model_metrics": q_model_metrics,
         "forecast_trees": q_forecast_trees,
         "score_requests_trees": q_score_requests_trees,
+        "master_incremental": q_master_incremental,
+        "snapshot_maintained": q_snapshot_maintained,
+        "gap_stats_merged": q_gap_stats_merged,
+        "stage_moments_merged": q_stage_moments_merged,
+        "master_round_trip": q_master_round_trip,
+        "records_payload": q_records_payload,
+        "digitalization_faults": q_digitalization_faults,
+        "request_errors": q_request_errors,
+        "bad_target_dates": q_bad_target_dates,
         "gap_model_report": q_gap_model_report,
         "forecast_learned": q_forecast_learned,
         "snapshot_learned": q_snapshot_learned,

@@ -93,6 +93,12 @@ SELECT DISTINCT CAST(concat(year(o_orderdate),'-12-31') AS DATE) AS target_date
     "digitalization_records": """
 SELECT n_nationkey AS ord, concat(' ',n_name,' ') AS state_ut,
  CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE concat(CAST(floor(n_nationkey * 37 % 1000 / 10) AS INT), '.', n_nationkey * 37 % 10) END AS pct_completed FROM {nation}""",
+    "digitalization_repeated": """
+SELECT ord, state_ut, pct_completed FROM {digitalization_records}
+ UNION ALL SELECT ord + 100, state_ut, '12.5' FROM {digitalization_records} WHERE ord % 4 = 1""",
+    "digitalization_malformed": """
+SELECT ord, state_ut, pct_completed FROM {digitalization_repeated}
+ UNION ALL SELECT ord + 200, state_ut, 'n/a' FROM {digitalization_records} WHERE ord = 7""",
     "state_dim": """
 SELECT n_nationkey + 1 AS state_code, CASE WHEN n_nationkey % 8 = 3 THEN NULL ELSE n_name END AS state_name,
  CASE WHEN n_nationkey % 6 = 0 THEN NULL ELSE CAST(n_nationkey AS DOUBLE) / 25 END AS fallback_score FROM {nation}""",

@@ -55,13 +55,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def folder_names(spark: SparkSession, root: str) -> list[str]:
+    """Names of the folders under ``root``; none where it doesn't exist."""
+    fs, p = _fs(spark, root)
+    return [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
+
+
 def list_runs(spark: SparkSession, root: str) -> list[str]:
     """Timestamped snapshot folders under ``root``, newest first."""
-    fs, p = _fs(spark, root)
-    if not fs.exists(p):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
-    runs = sorted((n for n in names if n.startswith("run=")), reverse=True)
+    runs = sorted((n for n in folder_names(spark, root) if n.startswith("run=")), reverse=True)
     return [f"{root.rstrip('/')}/{n}" for n in runs]
 
 

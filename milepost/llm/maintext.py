@@ -44,14 +44,16 @@ _NAME = re.compile(r"[a-z]+")
 
 # Elements of HTML by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object xmp".split())
+RAW = frozenset("script style textarea title noscript template iframe svg object xmp".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p "
     "pre search section summary table tbody td tfoot th thead tr ul caption".split())
 INLINE = frozenset(
     "abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rb rp rt "
-    "ruby s samp small span strike strong sub sup time tt u var wbr".split())
+    "ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover "
+    "mtable mtr mtd mstyle mspace semantics".split())
 TO_END = frozenset("script style textarea xmp".split())  # unclosed they hold the rest
 SUSPECT = frozenset(
     "head nav footer aside form button select option input label menu dialog canvas audio video "
@@ -103,6 +105,9 @@ class Page:
         self._source, self._closings = source, {}
         self.events: list[tuple[int, str | None]] = []
         self._stack = [0]
+        self._depths: dict[str, list[int]] = {}   # places of the open elements of a name on the stack
+        self._blocks: list[int] = []              # and of the open blocks
+        self._inside = [False]                    # in an article or main, by node
         pos, end = 0, len(source)
         while pos < end:
             m = _TAG.search(source, pos)
@@ -149,49 +154,53 @@ class Page:
         self.events.append((self._stack[-1], None))
 
     def _pop_to(self, depth: int) -> None:
+        """Close all elements from ``depth`` on; each element is closed once."""
+        for node in reversed(self._stack[depth:]):
+            self._depths[self.tag[node]].pop()
+            if self.tag[node] in BLOCK:
+                self._blocks.pop()
         del self._stack[depth:]
 
+    def _last(self, names) -> int:
+        """Place of the innermost open element of these names, 0 if there is none."""
+        return max((self._depths[n][-1] for n in names if self._depths.get(n)), default=0)
+
     def _open(self, name: str, attrs: str) -> None:
         if name in ("html", "body"):
             if name == "body":
                 self._close("head")
             return
-        stack, tag = self._stack, self.tag
+        stack = self._stack
         if name in BLOCK:  # an open paragraph ends where a block starts
-            for d in range(len(stack) - 1, 0, -1):
-                if tag[stack[d]] == "p":
-                    self._pop_to(d)
-                    break
-                if tag[stack[d]] in BLOCK:
-                    break
+            p = self._last(("p",))
+            if p and p >= (self._blocks[-1] if self._blocks else 0):
+                self._pop_to(p)
         if name in CLOSED_BY:
-            for d in range(len(stack) - 1, 0, -1):
-                if tag[stack[d]] in SCOPES[name]:
-                    break
-                if tag[stack[d]] in CLOSED_BY[name]:
-                    self._pop_to(d)
-                    break
+            open_ = self._last(CLOSED_BY[name])
+            if open_ > self._last(SCOPES[name]):
+                self._pop_to(open_)
         if name in BLOCK or name == "br":
             self._break()
-        inside = not {"article", "main"}.isdisjoint(tag[i] for i in stack)
+        inside = self._inside[stack[-1]]
+        self._inside.append(inside or name in ("article", "main"))
         self.tag.append(name)
         self.parent.append(stack[-1])
         self.out.append(name in RAW or self.out[stack[-1]])
         self.marked.append(name in SUSPECT or name == "header" and not inside
                            or name not in ("article", "main") and _marked(attrs, inside))
         if name not in VOID:
-            stack.append(len(tag) - 1)
+            self._depths.setdefault(name, []).append(len(stack))
+            if name in BLOCK:
+                self._blocks.append(len(stack))
+            stack.append(len(self.tag) - 1)
 
     def _close(self, name: str) -> None:
-        for d in range(len(self._stack) - 1, 0, -1):
-            open_ = self.tag[self._stack[d]]
-            if open_ == name:
-                self._pop_to(d)
-                if name in BLOCK:
-                    self._break()
-                return
-            if open_ in BLOCK and name not in BLOCK:
-                return
+        depth = self._last((name,))
+        if not depth or name not in BLOCK and self._blocks and depth < self._blocks[-1]:
+            return  # nothing to close, or an inline end tag behind an open block
+        self._pop_to(depth)
+        if name in BLOCK:
+            self._break()
 
 
 def _densities(page: Page, texts: list[int]):

@@ -299,3 +299,24 @@ def test_unclosed_raw_elements_end_at_the_next_block(raw):
         assert maintext.main_text(f"<body>{raw}<div>{para * 3}{later}</div></body>") == want
     # nested and closed ones go as a whole
     assert maintext.main_text(f"<body><div>{para * 3}<svg><svg></svg><div>words</div></svg></div></body>") == want
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    from milepost.llm import maintext
+    for tag in ("<b>", "<b></i>", "<i><div><b></i>", "<p><b>"):
+        took = []
+        for n in (20_000, 80_000):
+            start = time.time()
+            text = maintext.main_text("<html><body><article>" + (tag + "word ") * n)
+            took.append(time.time() - start)
+            assert text.count("word") == n
+        assert took[1] < 12 * max(took[0], 0.05)  # four times the tags; squares would take sixteen times
+
+
+def test_formulas_are_text():
+    from milepost.llm import maintext
+    page = ("<html><body><nav><a href='/'>home</a></nav><article><p>" + "Plain words about numbers. " * 8
+            + "Here <math><mi>x</mi><mo>=</mo><msup><mn>7</mn><mn>2</mn></msup></math> holds.</p></article></body></html>")
+    assert maintext.main_text(page).endswith("Here x=72 holds.")

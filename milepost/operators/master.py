@@ -241,6 +241,25 @@ def objection_summary(objections: DataFrame, collation: str | None = None) -> Da
         F.count_distinct("party_id").alias("affected_parties"))
 
 
+def milestone_rows(src: dict[str, DataFrame]) -> DataFrame:
+    """(project_id, the seven dates) of every master row, for work that needs nothing else.
+
+    A project is repeated once per distinct allocation of its ``pink_book_ref`` (once where there
+    is none): the allocations are counted by key before they meet the projects, so their
+    columns, the court cases and the objections are never read. Null keys skip the join.
+    """
+    counts = (allocation_base(src["AllocationWise"]).where(F.col("PROJECTID").isNotNull())
+              .groupBy("PROJECTID").agg(F.count(F.lit(1)).alias("__n")))
+    projects = src["project_basic"].select("project_id", "pink_book_ref") \
+        .join(milestone_dates(src), "project_id", "left")
+    keyed = projects.where(F.col("pink_book_ref").isNotNull()) \
+        .join(counts, F.col("pink_book_ref") == F.col("PROJECTID"), "left")
+    unkeyed = projects.where(F.col("pink_book_ref").isNull()).withColumn("__n", F.lit(1).cast("bigint"))
+    cols = ["project_id", *STAGE_COLS]
+    return keyed.select(*cols, "__n").unionByName(unkeyed.select(*cols, "__n")).select(
+        *cols, F.explode(F.sequence(F.lit(1).cast("bigint"), F.coalesce("__n", F.lit(1)))).alias("__i")).drop("__i")
+
+
 # -- R14..R16 ---------------------------------------------------------------
 
 def master_dataset(src: dict[str, DataFrame], dedupe: bool = False, per_case: bool = False,

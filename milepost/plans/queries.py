@@ -107,6 +107,11 @@ class Ctx:
         """Training rows: master with parsed dates and the six gaps."""
         return with_gaps(with_dates(self.master))
 
+    @property
+    def milestones(self):
+        """Dates and gaps of every master row, without its other columns."""
+        return with_gaps(with_dates(M.milestone_rows(self.fx.sources())))
+
     @property
     def codes(self):
         if self._codes is None:
@@ -138,7 +143,8 @@ class Ctx:
         return ModelSet.load(self.spark, path)
 
     def _mean_models(self):
-        rows = summary_stats(self.rows).collect()            # twelve rows at most
+        rows = self.milestones if self._m is None else self.rows
+        rows = summary_stats(rows).collect()                 # twelve rows at most
         stats = [{"gap": r["name"], "mean": r["mean"], "min": r["min"], "max": r["max"],
                   "n": r["n"]} for r in rows if r["kind"] == "gap"]
         dur = [(r["idx"], r["name"], r["lognorm_mu"], r["lognorm_sigma"], r["min"], r["max"],
@@ -167,7 +173,7 @@ def q_parse_dates(spark, sf_dir):
 
 
 def q_stage_gaps(spark, sf_dir):
-    return Ctx(spark, sf_dir, store=False).rows.select("project_id", *GAPS)
+    return Ctx(spark, sf_dir).milestones.select("project_id", *GAPS)
 
 
 def q_label_codes(spark, sf_dir):
@@ -249,15 +255,15 @@ def q_training_features_obj(spark, sf_dir):
 # -- A queries --------------------------------------------------------------
 
 def q_gap_stats(spark, sf_dir):
-    return _round(gap_stats(Ctx(spark, sf_dir, store=False).rows), ["mean", "std", "min", "max"])
+    return _round(gap_stats(Ctx(spark, sf_dir).milestones), ["mean", "std", "min", "max"])
 
 
 def q_prior_medians(spark, sf_dir):
-    return prior_medians(Ctx(spark, sf_dir, store=False).rows)
+    return prior_medians(Ctx(spark, sf_dir).milestones)
 
 
 def q_stage_durations(spark, sf_dir):
-    d = stage_durations(Ctx(spark, sf_dir, store=False).rows)
+    d = stage_durations(Ctx(spark, sf_dir).milestones)
     return _round(d, ["lognorm_mu", "lognorm_sigma", "min", "max", "p25", "p50", "p75",
                       "mean", "std"])
 
@@ -265,7 +271,7 @@ def q_stage_durations(spark, sf_dir):
 def q_report_durations(spark, sf_dir):
     """The stage-duration block of the training report (values rounded to 4 places)."""
     from ..operators.training import durations_report
-    return durations_report(stage_durations(Ctx(spark, sf_dir, store=False).rows))
+    return durations_report(stage_durations(Ctx(spark, sf_dir).milestones))
 
 
 def q_active_projects(spark, sf_dir):
@@ -381,7 +387,8 @@ def q_cv_folds(spark, sf_dir):
     """M8: fold sizes of all gaps, from the folds that training deals out."""
     from ..operators.training import with_folds
     c = Ctx(spark, sf_dir)
-    long = (c.rows.select("project_id", *GAPS).unpivot("project_id", GAPS, "gap", "v")
+    rows = cut_lineage(c.milestones.select("project_id", *GAPS))
+    long = (rows.select("project_id", *GAPS).unpivot("project_id", GAPS, "gap", "v")
             .where(F.col("v").isNotNull()))
     n = long.groupBy("gap").agg(F.count(F.lit(1)).alias("n"))
     k = cut_lineage(n.select("gap", _fold_count().cast("int").alias("k")))  # six rows
@@ -552,7 +559,7 @@ def q_snapshot_maintained(spark, sf_dir):
 def _merged_statistics(spark, sf_dir, kind: str):
     from ..operators.incremental import combined_states, statistic_states
     month = F.date_trunc("month", "date_37A").cast("date")
-    rows = Ctx(spark, sf_dir, store=False).rows.withColumn("part", month)
+    rows = Ctx(spark, sf_dir).milestones.withColumn("part", month)
     states = cut_lineage(statistic_states(rows, ["part"]))     # stored, a few rows a month
     return combined_states(states).where(F.col("kind") == kind)
 

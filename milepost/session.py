@@ -102,13 +102,13 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
-def ship_package(spark: SparkSession) -> None:
+def ship_package(spark: SparkSession, small_batches: bool = True) -> None:
     """Send this package to the Python workers (once per application).
 
-    Rows go to them in batches of at most 1,000 unless the session sets another number
-    than Spark's default, so that long texts don't pile up in a worker.
+    With ``small_batches`` rows go to them in batches of at most 1,000 unless the session sets
+    another number than Spark's default, so that long texts don't pile up in a worker.
     """
-    if spark.conf.get(ARROW_ROWS) == "10000":
+    if small_batches and spark.conf.get(ARROW_ROWS) == "10000":
         spark.conf.set(ARROW_ROWS, "1000")
     app = spark.sparkContext.applicationId
     if app in _shipped:

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import cases
+import numpy as np
 import pytest
 
 from milepost.llm import bpe, decontam, lmscore, maintext, quality
@@ -211,6 +212,13 @@ def test_lm_learns(spark):
     assert train.score.sum() > train.base_score.sum()
     held = r[r.held_out]
     assert held.score.sum() / held.n_tokens.sum() > -4.4
+    # total bits over the bytes of the text
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").toPandas()
+    both = r.merge(docs, on="doc_id")
+    size = both.text.fillna("").map(lambda t: len(t.encode()))
+    assert (both.n_bytes == size).all()
+    bits = -both.score * np.log2(10) / size.where(size > 0)
+    assert np.allclose(both.bits_per_byte, bits, equal_nan=True, atol=1e-9) and 1 < bits.median() < 6
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head>

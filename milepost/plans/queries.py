@@ -538,7 +538,7 @@ def q_master_incremental(spark, sf_dir):
 def q_snapshot_maintained(spark, sf_dir):
     """Snapshots from counts that two refreshes kept up by signed rows."""
     from ..operators.incremental import count_deltas, merged_counts
-    from ..operators.snapshot import snapshot_from_counts, stage_day_counts
+    from ..operators.snapshot import snapshot_from_counts
     from .jobs import publish_forecast, stored_counts
     c = Ctx(spark, sf_dir)
     mm = c.mean_models()

@@ -23,6 +23,6 @@ def small_training():
     from milepost.constants import GBT_PARAMS, RF_PARAMS
     from milepost.operators import training
     full = training.REFERENCE
-    training.REFERENCE = training.Preset(gbt=dict(GBT_PARAMS, maxIter=10), rf=dict(RF_PARAMS, numTrees=20))
+    training.REFERENCE = training.Preset(gbt=dict(GBT_PARAMS, maxIter=4), rf=dict(RF_PARAMS, numTrees=6))
     yield training.REFERENCE
     training.REFERENCE = full

@@ -110,7 +110,6 @@ def _set(days: float) -> ModelSet:
 
 
 def test_stream_follows_published_models(spark, tmp_path):
-    from milepost.operators.features import build_features  # noqa: F401
     from milepost.streaming.requests import start_versioned_scoring
     c = Q.Ctx(spark, SF_SMALL)
     rc, dc = c.codes

@@ -7,10 +7,9 @@ template rewrites history and ``rewritten_at`` names the turn that shows it. A t
 is found inside its span by rendering the same prefix with a marker as the last text: what
 stands before and after the marker frames the text. The loss mask holds the assistants' texts.
 
-Prefixes of a conversation of n turns cost n^2 / 2 turns. Beyond ``2 * WINDOW`` turns the
-prefixes start at most ``2 * WINDOW`` turns back, which is linear; the spans so found stand only
-if they add up to the whole rendering and to those of the prefixes of half, a quarter ... of
-the turns, otherwise all prefixes are rendered.
+Every prefix is rendered whole, at every length, so a template that looks back any number of
+turns gets its right spans. That costs n^2 / 2 turns for a conversation of n turns;
+``chat_template`` keeps the turns that it rendered last, so there a turn costs a lookup.
 
 ``chat_template`` marks every turn and puts a backslash into each control string inside a text
 or role, one more where there are some already, so that ``parsed`` gives back every turn.
@@ -29,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,7 +40,6 @@ from .arrays import give_back
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
-WINDOW = 64
 TRAINED = "assistant"
 OPEN, CLOSE = "<|turn|>", "<|end|>\n"
 # what follows < or [ in a control string of this and other common templates
@@ -71,9 +70,14 @@ def _role_in(role: str) -> str:
     return _ROLE_IN.sub(lambda m: "\n" if m[1] == "n" else m[1], unescaped(role))
 
 
+@lru_cache(maxsize=4096)
+def _turn_out(turn: Turn) -> str:
+    return f"{OPEN}{_role_out(turn[0])}\n{escaped(turn[1])}{CLOSE}"
+
+
 def chat_template(turns: list[Turn]) -> str:
     """``<|turn|>role``, a line end, the text, ``<|end|>``, a line end, for every turn."""
-    return "".join(f"{OPEN}{_role_out(r)}\n{escaped(t)}{CLOSE}" for r, t in turns)
+    return "".join(map(_turn_out, turns))
 
 
 def parsed(output: str) -> list[Turn]:
@@ -99,51 +103,31 @@ def _frame(render: Template, before: list[Turn], role: str, prefix: str, piece:
     return len(head), len(piece) - len(tail)
 
 
-def _pieces(turns: list[Turn], render: Template, start: int, first: int, last: int, trained: str):
-    """(piece, frame of a trained text or None) of turns ``first`` .. ``last`` - 1, by comparing
-    prefixes that begin at ``start``; the number of the turn that rewrites, or None."""
-    out, before = [], render(turns[start:first])
-    for k in range(first, last):
-        now = render(turns[start:k + 1])
+def _pieces(turns: list[Turn], render: Template, trained: str):
+    """(piece, frame of a trained text or None) of every turn, by comparing successive prefixes;
+    the number of the turn that rewrites, or None."""
+    out, before = [], render([])
+    for k in range(len(turns)):
+        now = render(turns[:k + 1])
         if not now.startswith(before):
             return out, k
         piece, frame = now[len(before):], None
         if turns[k][0] == trained:
-            frame = _frame(render, turns[start:k], trained, before, piece)
+            frame = _frame(render, turns[:k], trained, before, piece)
         out.append((piece, frame))
         before = now
     return out, None
 
 
-def _windowed(turns: list[Turn], render: Template, trained: str):
-    """The pieces found with windows, or None where they don't add up."""
-    found = []
-    for first in range(0, len(turns), WINDOW):
-        part, bad = _pieces(turns, render, max(0, first - WINDOW), first,
-                            min(first + WINDOW, len(turns)), trained)
-        if bad is not None:
-            return None
-        found += part
-    head = render([])
-    n = len(turns)
-    while n:
-        if render(turns[:n]) != head + "".join(p for p, _ in found[:n]):
-            return None
-        n //= 2
-    return found
-
-
 def located(turns: list[Turn], render: Template, trained: str = TRAINED):
     """(output, span of every turn, loss spans, number of the rewriting turn or None).
 
     Spans are (start, end) in code points of the output. A trained turn whose text is not
     found literally between its frame gets no loss span.
     """
-    found = _windowed(turns, render, trained) if len(turns) > 2 * WINDOW else None
-    if found is None:
-        found, bad = _pieces(turns, render, 0, 0, len(turns), trained)
-        if bad is not None:
-            return render(turns), [], [], bad
+    found, bad = _pieces(turns, render, trained)
+    if bad is not None:
+        return render(turns), [], [], bad
     spans, loss, at = [], [], len(render([]))
     output = [render([])]
     for piece, frame in found:

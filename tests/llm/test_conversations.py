@@ -265,6 +265,17 @@ def test_templates_are_black_boxes():
     assert chatfmt.located(long, _forgets)[3] == 3
 
 
+def _rewrites_once(turns):
+    """Append-only but for the prefix of 150 turns, which shows another head."""
+    return ("!" if len(turns) == 150 else "^") + "".join(f"{r}:{t}\n" for r, t in turns)
+
+
+def test_long_conversations_are_compared_prefix_by_prefix():
+    long = [(("user", "assistant")[i % 2], f"text {i}") for i in range(200)]
+    assert chatfmt.located(long, _rewrites_once)[3] == 149
+    assert chatfmt.located(long[:149], _rewrites_once)[3] is None
+
+
 def test_format_of_awkward_rows(spark):
     rows = odd_turns(200)
     df = turn_table(spark, rows)

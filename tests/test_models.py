@@ -86,6 +86,53 @@ def test_boosting_passes_agree(spark):
     assert e.predict_one(x.x) == pytest.approx(table.p[table.y == x.y].iloc[0])
 
 
+def test_small_gaps_grow_without_passes(spark, monkeypatch):
+    """One gap in a task a model, the other in passes: the same trees as all in passes."""
+    from milepost.operators import boosting
+    df = _samples(spark, 400).where("gap = 0 or row < 300")
+    folds, how = {0: 3, 1: 3}, boosting.Boost(rounds=6, depth=3)
+    passes = boosting.boost(df, folds, how, whole_rows=0)
+    some = boosting.boost(df, folds, how, whole_rows=300)
+
+    def never(*_):
+        raise AssertionError("a pass")
+    monkeypatch.setattr(boosting, "_in_passes", never)
+    every = boosting.boost(df, folds, how)
+    key = ["gap", "fold", "model", "y"]
+    a, b, c = (f.predictions.toPandas().sort_values(key).pred.to_numpy() for f in (passes, some, every))
+    assert (a == b).all() and (a == c).all()
+    for g in folds:
+        assert passes.ensembles[g].nodes == some.ensembles[g].nodes == every.ensembles[g].nodes
+
+
+def test_gram_sums_send_a_matrix_a_task(spark):
+    from milepost.operators.ridge import gram_sums
+    df = _samples(spark, 500).repartition(3)
+    out = gram_sums(df, {0: [1.0] * 7, 1: [2.0] * 8})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+    got = {(r.gap, r.fold, r.i, r.j): r.s for r in out.collect()}
+    for g in (0, 1):
+        for f in range(3):
+            rows = df.where(f"gap = {g} and fold = {f}").collect()
+            z = np.array([[*r.x, r.y] for r in rows]) - (g + 1)
+            z = np.column_stack([z, np.ones(len(z))])
+            m = z.T @ z
+            assert all(got[g, f, i, j] == pytest.approx(m[i, j]) for i in range(len(m)) for j in range(i, len(m)))
+
+
+def test_medians_count_a_value_once_for_all_groups(spark):
+    from milepost.functions import quantiles
+    df = spark.createDataFrame([(float(i % 7), None if i % 3 else float(i)) for i in range(50)], "a double, b double")
+    groups = {"all": (F.lit(True), ["a", "b"]), "some": (F.col("b") > 10, ["a"]), "null": (F.lit(None).cast("boolean"), ["a"])}
+    got = {(r.group, r.column): (r.median, r.n) for r in quantiles.grouped_medians(df, groups).collect()}
+    rows = [(float(i % 7), None if i % 3 else float(i)) for i in range(50)]
+    some = [a for a, b in rows if b is not None and b > 10]
+    assert got == {("all", "a"): (np.median([a for a, _ in rows]), 50),
+                   ("all", "b"): (np.median([b for _, b in rows if b is not None]), 17),
+                   ("some", "a"): (np.median(some), len(some))}
+
+
 def test_boosting_scores_as_spark_ml(spark):
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import GBTRegressor

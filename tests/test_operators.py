@@ -250,3 +250,25 @@ def test_tables_are_dropped(spark):
     df = cut_lineage(spark.range(3))
     path = df.inputFiles()[0].rsplit("/", 1)[0]
     assert path_exists(spark, path) and drop_tables(spark) >= 1 and not path_exists(spark, path)
+
+
+def test_first_dates_are_grouped_by_project_alone(spark):
+    """A feed is one stage, so no task holds a map of (project, stage) texts of all feeds."""
+    feed = spark.createDataFrame([(1, "2020-01-02"), (1, "2020-01-01"), (2, None), (None, "2020-05-05")],
+                                 "project_id long, t string").selectExpr("project_id", "CAST(t AS DATE) publish_date")
+    src = {n: feed for n in ("notification_37A", "la_notification_master", "three_A_master", "three_d_master")}
+    out = M.first_stage_dates_long(src)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [project_id") == 4
+    assert sorted((r.project_id or 0, r.stage, str(r.first_date)) for r in out.collect()) == sorted(
+        (p, s, d) for s in ("37A", "7A", "20A", "20E") for p, d in ((0, "2020-05-05"), (1, "2020-01-01")))
+
+
+def test_stored_master_has_the_columns_that_a_query_reads(spark):
+    """Court cases and objections are left out where only dates are read; every row is there."""
+    from milepost.plans import queries as Q
+    c = Q.Ctx(spark, "/root/testdata/sf0.001", store=False, columns=Q.DATE_COLS)
+    plan = c.master._jdf.queryExecution().optimizedPlan().toString()
+    assert "event_id" not in plan and "__hot" not in plan
+    whole = Q.Ctx(spark, "/root/testdata/sf0.001", store=False).master.select(*Q.DATE_COLS)
+    assert c.master.exceptAll(whole).count() == 0 and whole.exceptAll(c.master).count() == 0

@@ -110,3 +110,57 @@ def test_hot_allocation_key_is_dealt_out(spark, skew_conf):
     out = M.project_base(projects, ab, heavy_rows=100).where("pink_book_ref = 7")
     sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert len(sizes) > 3 and max(sizes) < 0.6 * sum(sizes)
+
+
+def _objections(spark):
+    random.seed(4)
+    rows = []
+    for i in range(3000):
+        project = None if i % 11 == 0 else 5 if i % 3 == 0 else random.randrange(40)
+        rows.append((i % 2500, project, "Active" if i % 4 == 0 else None, None,
+                     None if i % 7 == 0 else random.randrange(60), random.randrange(9)))
+    return rows, spark.createDataFrame(rows, "objection_id long, project_id long, status string, "
+                                             "objection_date date, survey_id long, party_id long")
+
+
+@pytest.mark.parametrize("heavy_rows", [M.HEAVY_ROWS, 200, 0])
+def test_objections_of_light_and_heavy_projects(spark, heavy_rows):
+    rows, df = _objections(spark)
+    want = defaultdict(lambda: [set(), 0, set(), set()])
+    for o, p, status, _, survey, party in rows:
+        w = want[p]
+        w[0].add(o)
+        w[1] += status == "Active"
+        w[2] |= {survey} - {None}
+        w[3].add(party)
+    got = M.objection_summary(df, heavy_rows=heavy_rows).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert [r.objection_count, r.active_objections, r.affected_surveys, r.affected_parties] == \
+            [len(w) if isinstance(w, set) else w for w in want[r.project_id]]
+
+
+def test_objections_are_not_expanded(spark):
+    """Light projects' distinct values are counted without four rows an objection; the branch of
+    heavy ones has one Expand."""
+    _, df = _objections(spark)
+    plan = M.objection_summary(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Expand") == 1 and "collect_set" in plan
+
+
+def test_projects_are_computed_once_before_their_allocations(spark):
+    projects = spark.createDataFrame([(i, None if i % 3 == 0 else i % 5) for i in range(60)],
+                                     "project_id long, pink_book_ref long")
+    alloc = spark.createDataFrame([(f"u{i}", i % 4) for i in range(30)], "uwid string, PROJECTID long")
+    for c in M.ALLOCATION_COLS[2:]:
+        alloc = alloc.selectExpr("*", f"'x' AS {c}")
+    for heavy_rows in (M.HEAVY_ROWS, 3):
+        marked = projects.selectExpr("*", "hash(project_id) AS marked")
+        out = M.with_allocations(marked, alloc, heavy_rows)
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("AS marked") == 1
+        got = sorted((r.project_id, r.uwid or "") for r in out.collect())
+        by_key = defaultdict(list)
+        for i in range(30):
+            by_key[i % 4].append(f"u{i}")
+        assert got == sorted((i, u) for i in range(60)
+                             for u in ((by_key.get(i % 5) or [""]) if i % 3 else [""]))

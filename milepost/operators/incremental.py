@@ -2,7 +2,9 @@
 
 * master: changed source rows give the affected project ids; only these projects are
   recomputed, from sources narrowed by semi joins, and merged into the stored master by project
-  bucket. A run holds the buckets it rewrote; its index names, for every bucket, the run that
+  bucket. A bitmap of the affected keys' hashes, small enough to broadcast, goes before every semi
+  join, so most rows of other projects are never shuffled; stored rows that it rules out are copied
+  from their bucket's files as they are. A run holds the buckets it rewrote; its index names, for every bucket, the run that
   holds it, and is published by the pointer, so untouched buckets are neither read nor
   written and a reader never sees half a refresh.
 * counts: a refreshed forecast changes the (stage, day) counts by -1 / +1 rows of the projects
@@ -27,6 +29,10 @@ from .forecast import forecast_long
 from .master import master_dataset
 
 BUCKETS = 64
+# bits of a bitmap of keys: so many a key, within these bounds (128 KB to 16 MB)
+BITS_PER_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 27
+# files a bucket; where a refresh finds more, it deals its rows anew
+FILES_PER_BUCKET = 32
 INDEX = "_index"
 _BUCKET = "project_bucket"
 # source table -> the column that leads to its project
@@ -41,13 +47,17 @@ def _bucket(buckets: int):
     return F.pmod(F.xxhash64(F.col("project_id").cast("string")), F.lit(buckets)).cast("int")
 
 
-def _write_buckets(rows: DataFrame, root: str, held: dict[int, str], touched: list[int], buckets: int) -> str:
+def _write_buckets(rows: DataFrame, root: str, held: dict[int, str], touched: list[int], buckets: int,
+                   settled: DataFrame | None = None) -> str:
+    """Write a run of ``rows`` and of ``settled``, rows that come from bucket files and need no shuffle."""
     spark = rows.sparkSession
     run = f"{_dt.datetime.now():%Y%m%d_%H%M%S}_{uuid.uuid4().hex[:8]}"
     folder = f"{root.rstrip('/')}/run={run}"
     # one shuffle deals the rows by bucket; a bucket that holds most rows stays splittable by size
-    (rows.withColumn(_BUCKET, _bucket(buckets)).repartition(F.col(_BUCKET), F.pmod(F.xxhash64("uwid"), F.lit(8)))
-     .write.partitionBy(_BUCKET).mode("overwrite").parquet(folder))
+    dealt = rows.withColumn(_BUCKET, _bucket(buckets)).repartition(F.col(_BUCKET), F.pmod(F.xxhash64("uwid"), F.lit(8)))
+    if settled is not None:
+        dealt = settled.withColumn(_BUCKET, _bucket(buckets)).unionByName(dealt)
+    (dealt.write.partitionBy(_BUCKET).mode("overwrite").parquet(folder))
     written = {int(n.split("=")[1]) for n in folder_names(spark, folder) if n.startswith(f"{_BUCKET}=")}
     index = {b: r for b, r in held.items() if b not in touched} | {b: run for b in written}
     doc = json.dumps({"buckets": buckets, "schema": rows.schema.json(), "held": index})
@@ -109,12 +119,48 @@ def affected_projects(src: dict[str, DataFrame], changes: dict[str, DataFrame])
     return out.where(F.col("project_id").isNotNull()).distinct()
 
 
-def narrowed(src: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+class KeyBits:
+    """A bitmap of the hashes of the keys in ``keys`` (one column), written once and broadcast.
+
+    It rules out rows whose key is not among them without a shuffle; the few others that share a hash
+    with one are left to an exact join. Its size is bounded: past 8 million keys it rules out fewer.
+    """
+
+    def __init__(self, keys: DataFrame):
+        (self.column,), self.type = keys.columns, keys.schema[0].dataType
+        wanted = max(1, BITS_PER_KEY * keys.count() - 1).bit_length()
+        self.bits = min(max(1 << wanted, LEAST_BITS), MOST_BITS)
+        slot = self._slot()
+        self.maps = cut_lineage(keys.groupBy(F.bitmap_bucket_number(slot).alias("__map"))
+                                .agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("__bits")))
+
+    def _slot(self):
+        # in the keys' type, as a join compares them
+        return F.pmod(F.xxhash64(F.col(self.column).try_cast(self.type)), F.lit(self.bits))
+
+    def marked(self, rows: DataFrame) -> DataFrame:
+        """``rows`` plus ``__may``: false where the row's key is not among the keys for certain."""
+        at = F.bitmap_bit_position(self._slot())
+        byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        bit = F.floor(byte / F.pow(F.lit(2), at % 8)) % 2
+        return (rows.withColumn("__map", F.bitmap_bucket_number(self._slot()))
+                .join(F.broadcast(self.maps), "__map", "left")      # a row per 32,768 bits
+                .withColumn("__may", F.coalesce(bit == 1, F.lit(False))).drop("__map", "__bits"))
+
+    def possible(self, rows: DataFrame) -> DataFrame:
+        return self.marked(rows).where(F.col("__may")).drop("__may")
+
+
+def narrowed(src: dict[str, DataFrame], ids: DataFrame, bits: KeyBits | None = None) -> dict[str, DataFrame]:
     """The sources with the rows that the projects ``ids`` need."""
-    out = {t: src[t].join(ids, "project_id", "left_semi") for t in _DIRECT}
-    out["nhai_award_det"] = src["nhai_award_det"].join(out["nhai_award"].select("award_id"), "award_id", "left_semi")
-    out["court_case_details"] = src["court_case_details"].join(
-        out["court_case"].select("case_id"), "case_id", "left_semi")
+    bits = bits or KeyBits(ids)
+    out = {t: bits.possible(src[t]).select(*src[t].columns).join(ids, "project_id", "left_semi") for t in _DIRECT}
+
+    def details(detail: str, parent: str, key: str):
+        keys = cut_lineage(out[parent].select(key))
+        out[detail] = KeyBits(keys).possible(src[detail]).select(*src[detail].columns).join(keys, key, "left_semi")
+    details("nhai_award_det", "nhai_award", "award_id")
+    details("court_case_details", "court_case", "case_id")
     out["AllocationWise"] = src["AllocationWise"].join(
         out["project_basic"].select(F.col("pink_book_ref").alias("PROJECTID")), "PROJECTID", "left_semi")
     return out
@@ -128,9 +174,16 @@ def refresh_master(src: dict[str, DataFrame], changes: dict[str, DataFrame], roo
     ids = cut_lineage(affected_projects(src, changes))
     touched = sorted(r[0] for r in ids.select(_bucket(buckets)).distinct().collect())  # at most ``buckets``
     if touched:
-        fresh = master_dataset(narrowed(src, ids))
-        kept = read_master(spark, root, touched).join(ids, "project_id", "left_anti")
-        _write_buckets(kept.unionByName(fresh), root, doc["held"], touched, buckets)
+        bits = KeyBits(ids)
+        fresh = master_dataset(narrowed(src, ids, bits))
+        held = read_master(spark, root, touched)
+        stored = bits.marked(held)
+        kept = stored.where(F.col("__may")).drop("__may").join(ids, "project_id", "left_anti")
+        settled = stored.where(~F.col("__may")).drop("__may")
+        rows = kept.unionByName(fresh)
+        if len(held.inputFiles()) > FILES_PER_BUCKET * len(touched):
+            rows, settled = rows.unionByName(settled), None
+        _write_buckets(rows, root, doc["held"], touched, buckets, settled)
     return ids
 
 

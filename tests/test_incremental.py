@@ -59,6 +59,44 @@ def test_refresh_with_a_vanished_project_and_no_change(spark, tmp_path):
     assert same(I.read_master(spark, root), master_dataset(now))
 
 
+@pytest.mark.parametrize("most_bits", [1 << 27, 64])
+def test_key_bits_rule_out_no_key(spark, monkeypatch, most_bits):
+    monkeypatch.setattr(I, "MOST_BITS", most_bits)
+    keys = spark.range(0, 40_000, 7).select(F.col("id").cast("int").alias("k"))
+    bits = I.KeyBits(keys)
+    rows = spark.range(-500, 50_000).select(F.when(F.col("id") != -1, F.col("id")).alias("k")) \
+        .unionByName(spark.range(1).select(F.lit(1 << 40).alias("k")))
+    got = {r.k: r["__may"] for r in bits.marked(rows).collect()}
+    assert len(got) == 50_501 and all(got[k] for k in range(0, 40_000, 7))
+    # the bitmap is full where it has too few bits, otherwise few others share a hash
+    assert most_bits == 64 or sum(got.values()) < 1.2 * len(range(0, 40_000, 7))
+    assert same(bits.possible(rows).join(keys, "k", "left_semi"), keys.withColumn("k", F.col("k").cast("bigint")))
+    assert not any(r["__may"] for r in I.KeyBits(keys.limit(0)).marked(rows).collect())
+
+
+@pytest.mark.parametrize("files", [32, 0])
+def test_a_refresh_deals_only_rows_of_affected_projects(spark, tmp_path, monkeypatch, files):
+    monkeypatch.setattr(I, "FILES_PER_BUCKET", files)
+    src = {n: d.cache() for n, d in Fixtures(spark, SF_SMALL).sources().items()}
+    root = str(tmp_path / "master")
+    late = F.pmod("project_id", F.lit(50)) == 7
+    before = dict(src, three_A_master=src["three_A_master"].where(~late))
+    I.write_master(master_dataset(before), root, buckets=4)
+    dealt, write = [], I._write_buckets
+
+    def seen(rows, *args):
+        dealt.append(rows.count())
+        return write(rows, *args)
+    monkeypatch.setattr(I, "_write_buckets", seen)
+    ids = I.refresh_master(src, {"three_A_master": src["three_A_master"].where(late)}, root)
+    now = I.read_master(spark, root)
+    affected, every = now.join(ids, "project_id", "left_semi").count(), now.count()
+    assert same(now, master_dataset(src)) and 0 < affected < every / 10
+    assert dealt[0] == every if files == 0 else affected <= dealt[0] < 1.2 * affected + 10
+    shuffled = I.narrowed(src, ids)["three_A_objections"]._jdf.queryExecution().optimizedPlan().toString()
+    assert shuffled.index("LeftSemi") < shuffled.index("__bits")          # the bitmap comes before the join
+
+
 def test_signed_counts_equal_a_recount(spark):
     from milepost.operators.snapshot import stage_day_counts
     rng = random.Random(2)

@@ -148,6 +148,29 @@ def test_objections_are_not_expanded(spark):
     assert plan.count("Expand") == 1 and "collect_set" in plan
 
 
+def test_few_objections_are_counted_by_project(spark):
+    """Heavy projects are found among those whose hash has many objections; the rest is counted by hash only."""
+    _, df = _objections(spark)
+    plan = M.objection_summary(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "% 65536" in plan or "pmod(xxhash64(project_id" in plan
+
+
+def test_details_are_shuffled_by_case_only(spark):
+    cases = spark.createDataFrame([(i % 30, i % 7, "Active", None, None) for i in range(60)],
+                                  "case_id long, project_id long, status string, from_date date, to_date date")
+    details = spark.createDataFrame([(i % 40, i % 9 or None, 1.0) for i in range(400)],
+                                    "case_id long, survey_id long, area double")
+    out = M.court_case_summary(cases, details)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate(keys=[case_id" in plan
+    assert not any("HashAggregate(keys=[case_id" in line and "survey_id" in line.split("functions=")[0]
+                   for line in plan.splitlines())
+    want = defaultdict(set)
+    for i in range(60):
+        want[i % 7] |= {j % 9 for j in range(400) if j % 40 == i % 30} - {0}
+    assert {r.project_id: r.disputed_surveys for r in out.collect()} == {p: len(s) for p, s in want.items()}
+
+
 def test_projects_are_computed_once_before_their_allocations(spark):
     projects = spark.createDataFrame([(i, None if i % 3 == 0 else i % 5) for i in range(60)],
                                      "project_id long, pink_book_ref long")

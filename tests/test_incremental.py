@@ -59,6 +59,16 @@ def test_refresh_with_a_vanished_project_and_no_change(spark, tmp_path):
     assert same(I.read_master(spark, root), master_dataset(now))
 
 
+@pytest.fixture
+def few_partitions(spark):
+    """Shuffles of a few partitions from the start: this file's tables are small."""
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "4")
+    yield
+    spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 @pytest.mark.parametrize("most_bits", [1 << 27, 64])
 def test_key_bits_rule_out_no_key(spark, monkeypatch, most_bits):
     monkeypatch.setattr(I, "MOST_BITS", most_bits)
@@ -75,7 +85,7 @@ def test_key_bits_rule_out_no_key(spark, monkeypatch, most_bits):
 
 
 @pytest.mark.parametrize("files", [32, 0])
-def test_a_refresh_deals_only_rows_of_affected_projects(spark, tmp_path, monkeypatch, files):
+def test_a_refresh_deals_only_rows_of_affected_projects(spark, few_partitions, tmp_path, monkeypatch, files):
     monkeypatch.setattr(I, "FILES_PER_BUCKET", files)
     src = {n: d.cache() for n, d in Fixtures(spark, SF_SMALL).sources().items()}
     root = str(tmp_path / "master")

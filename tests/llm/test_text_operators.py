@@ -8,6 +8,7 @@ from collections import Counter
 import cases
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from milepost.llm import bpe, decontam, lmscore, maintext, quality
 
@@ -221,6 +222,49 @@ def test_lm_learns(spark):
     assert np.allclose(both.bits_per_byte, bits, equal_nan=True, atol=1e-9) and 1 < bits.median() < 6
 
 
+def test_lm_words_depend_on_the_words_before(spark):
+    """A text in order is likelier than its words shuffled, in training and in held-out texts."""
+    import random
+    rng = random.Random(3)
+    names = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe", "ra", "so", "ti") for b in ("ban", "dor", "fel", "gim", "hus")]
+    follows = dict(zip(names, rng.sample(names, len(names))))     # each word has one that mostly comes next
+    rows = []
+    for i in range(300):
+        text = [rng.choice(names)]
+        for _ in range(60):
+            text.append(follows[text[-1]] if rng.random() < 0.9 else rng.choice(names))
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = lmscore.vocabulary(docs)
+    fitted = lmscore.fit(words)
+    mixed = spark.createDataFrame([(i, " ".join(rng.sample(t.split(), 61))) for i, t in rows], docs.schema)
+    held = lmscore.held_out(F.col("doc_id"))
+    a, b = ({r.doc_id: r.score / r.n_tokens for r in lmscore.score(d.where(held), words, fitted).collect()}
+            for d in (docs, mixed))
+    assert len(a) > 30 and all(a[i] > b[i] + 0.3 for i in a)
+    # held-out words cost little more than their choice among 40, as most are known from the word before
+    assert sum(a.values()) / len(a) > -0.7
+
+
+def test_lm_blocks_change_nothing(docs, monkeypatch):
+    from milepost.llm import mixing
+    words = lmscore.vocabulary(docs)
+    fitted = lmscore.fit(words)
+    raw = "".join(t or "" for t in (r.text for r in docs.limit(40).collect())).encode()
+    raw = np.frombuffer(raw + b" " + b"y" * 300 + b" end", np.uint8)
+    low, begin, end, doc, _ = lmscore.tokens(raw, np.array([0, 700, 700, len(raw)]))
+    symbols, offsets = lmscore.coded(low, begin, end, doc, 3)
+    spelled = [bytes(symbols[a:b]) for a, b in zip(offsets, offsets[1:])]
+    assert spelled == [b"".join(w + b" " for w in [*bytes(low[a:b]).split(), b""])
+                       for a, b in ((0, 700), (700, 700), (700, len(raw)))]
+    whole = fitted.model.scores(mixing.Stream(symbols, offsets))
+    monkeypatch.setattr(mixing, "BLOCK", 37)
+    assert np.allclose(fitted.model.scores(mixing.Stream(symbols, offsets)), whole, atol=1e-9)
+    # a text's score depends on no other text
+    last = fitted.model.scores(mixing.Stream(symbols[offsets[2]:], offsets[2:] - offsets[2]))
+    assert np.allclose(last, whole[offsets[2]:], atol=1e-9)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head>
 <body><nav><ul><li><a href=1>Home</a></li></ul></nav><div class="ad">Buy now</div>
 <article><h1>Head &amp; line</h1><p>First  <b>bold</b>ly

@@ -370,3 +370,47 @@ def test_learned_forecast_never_goes_back(spark):
                 d = r[STAGE_COLS[k]]
                 assert d >= prev
                 prev = d
+
+
+def _large_ensemble(trees=150, seed=2):
+    from milepost.operators.trees import Ensemble
+    rng = np.random.default_rng(seed)
+    nodes = []
+    for t in range(trees):
+        nodes += [(t, i, int(rng.integers(0, 4)), float(rng.normal()), 2 * i + 1, 2 * i + 2, 0.0) for i in range(7)]
+        nodes += [(t, i, 0, 0.0, i, i, float(rng.normal())) for i in range(7, 15)]
+    return Ensemble(nodes, 3.0, 0.05)
+
+
+def test_a_large_ensemble_gives_the_same_numbers_compiled(spark):
+    e = _large_ensemble()
+    rng = np.random.default_rng(5)
+    x = [[float(v) for v in rng.normal(size=4)] for _ in range(200)]
+    x += [[n[3]] * 4 for n in e.nodes[:7]] + [[float("nan"), float("inf"), float("-inf"), -0.0]]
+    df = spark.createDataFrame([(v,) for v in x], "x array<double>")
+    got = e.predicted(df, F.col("x"), "p").withColumn("q", e.column(F.col("x"))).collect()
+    assert len(got) == len(x) and got[0].__fields__ == ["x", "p", "q"]
+    assert all(r.p == r.q for r in got)          # to the last bit
+    assert all(r.p == pytest.approx(e.predict_one(list(r.x))) for r in got[:20])
+
+
+def test_large_ensembles_are_walked_in_many_tasks(spark):
+    """Rows of one small file are dealt out, and only stages still to come are predicted."""
+    from milepost.operators.forecast import chain
+    from milepost.operators.models import GapPredictor, ModelSet
+    from milepost.operators.trees import Ensemble
+    e = _large_ensemble()
+    models = ModelSet([GapPredictor(gap=g, mean=30.0, min=0.0, max=90.0, features=["a", "b", "c", "d"],
+                                    medians=dict.fromkeys("abcd", 0.5), model=e) for g in GAPS])
+    df = spark.range(50).coalesce(1).selectExpr(
+        "id", "cast(id % 8 as int) idx", "date'2024-01-01' start", "cast(id as double) a", "if(id % 3 = 0, null, 0.1) b",
+        "cast(id % 7 as double) c", "-0.2D d")
+    assert models.spread(df).rdd.getNumPartitions() >= 4
+    small = ModelSet([GapPredictor(gap=g, model=Ensemble([(0, 0, 0, 0.0, 0, 0, 1.0)])) for g in GAPS])
+    assert small.spread(df).rdd.getNumPartitions() == 1
+    plan = chain(models.spread(df), models, "idx", "start")
+    assert "aggregate(" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    for r in plan.collect():
+        x = [r.a, 0.5 if r.b is None else r.b, r.c, r.d]
+        days = float(np.round(min(90.0, max(0.0, e.predict_one(x)))))
+        assert [r[f"days_{k}"] for k in range(6)] == [days if r.idx <= k else None for k in range(6)]

@@ -414,3 +414,15 @@ def test_large_ensembles_are_walked_in_many_tasks(spark):
         x = [r.a, 0.5 if r.b is None else r.b, r.c, r.d]
         days = float(np.round(min(90.0, max(0.0, e.predict_one(x)))))
         assert [r[f"days_{k}"] for k in range(6)] == [days if r.idx <= k else None for k in range(6)]
+
+
+def test_forests_keep_node_ids_and_grow_the_same_trees(spark, monkeypatch):
+    from pyspark.ml.functions import array_to_vector
+    from milepost.operators import training as T
+    data = _samples(spark, 400, 1).select(array_to_vector("x").alias("v"), "y").coalesce(2).cache()
+    params = dict(numTrees=8, maxDepth=4, minInstancesPerNode=5, featureSubsetStrategy="sqrt", seed=42)
+    kept = T._forest(params, data, 400)
+    monkeypatch.setattr(T, "NODE_IDS", 8 * 400 - 1)
+    walked = T._forest(params, data, 400)
+    assert kept.getCacheNodeIds() and not walked.getCacheNodeIds()
+    assert kept.toDebugString.split("\n", 1)[1] == walked.toDebugString.split("\n", 1)[1]
